@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohera.llm import decontam, simhash
+from cohera.llm import decontam, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [decontam.op5_decontamination, simhash.op10_simhash_near_dedup]
+    made = [tokens.op1_token_counts, decontam.op5_decontamination, simhash.op10_simhash_near_dedup]
     return {f.__name__: f for f in made}
 
 
