@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohera.llm import decontam, quality, simhash, tokens
+from cohera.llm import decontam, quality, sharding, simhash, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [tokens.op1_token_counts, quality.op2_quality_rules, decontam.op5_decontamination, simhash.op10_simhash_near_dedup]
+    made = [tokens.op1_token_counts, quality.op2_quality_rules, warc.op3_warc, decontam.op5_decontamination, sharding.op6_sharding, simhash.op10_simhash_near_dedup]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.OP2_SQL, "op5_decontamination": decontam.OP5_SQL}
+    return {"op2_quality_rules": quality.OP2_SQL, "op3_warc": warc.OP3_SQL, "op5_decontamination": decontam.OP5_SQL}
