@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from cohera.llm.memory import Memory
+
 # Fixed values of the byte-level pre-tokenizer: its contractions.
 _CONTRACTION = r"'(?:s|t|re|ve|m|ll|d)"
 _SPACE_RUN = regex.compile(r"\s | \Z|\A ")
@@ -43,29 +45,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Memory(dict):
-    """Remembers make(key) for short keys in two generations: what is asked for again outlives a change."""
-
-    def __init__(self, make, most: int = REMEMBERED):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        made = self.old.get(key)
-        if made is None:
-            made = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = made
-        return made
-
-    def forget(self) -> None:
-        self.clear()
-        self.old = {}
-
-
 class PrefixCounter:
     """Counts tokens at every prefix as the tokenizer file's own encoder would, without added special tokens."""
 
@@ -82,9 +61,9 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.whole: dict[bytes, bool] = {}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
-        self.runs = _Memory(self._run)
-        self.spaced = _Memory(lambda piece: self._pieces(" " + piece))
-        self.units = _Memory(self._pieces, 50_000)
+        self.runs = Memory(self._run, REMEMBERED, LONGEST)
+        self.spaced = Memory(lambda piece: self._pieces(" " + piece), REMEMBERED, LONGEST)
+        self.units = Memory(self._pieces, 50_000, LONGEST)
         self.library, self.checked, self.odd = Tokenizer.from_file(path).pre_tokenizer, set(), {"L": "", "N": "", "O": ""}
         self._classes()
 
