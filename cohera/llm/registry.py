@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohera.llm import decontam, langid, packing, quality, sharding, simhash, tokens, toxicity, warc
+from cohera.llm import decontam, langid, lmscore, packing, quality, sharding, simhash, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [tokens.op1_token_counts, quality.op2_quality_rules, warc.op3_warc, langid.op4_language_id, decontam.op5_decontamination, sharding.op6_sharding, toxicity.op7_toxicity, packing.op9_best_fit_packing, simhash.op10_simhash_near_dedup]
+    made = [tokens.op1_token_counts, quality.op2_quality_rules, warc.op3_warc, langid.op4_language_id, decontam.op5_decontamination, sharding.op6_sharding, toxicity.op7_toxicity, lmscore.op8_lm_scoring, packing.op9_best_fit_packing, simhash.op10_simhash_near_dedup]
     return {f.__name__: f for f in made}
 
 
