@@ -4,13 +4,20 @@ Writing: each task writes one archive under a name of its own; the driver's comm
 so what a lost or repeated attempt left is never read. Reading: partitions are runs of whole archives of about
 `splitbytes`; predicates on record_type and on header columns are taken over from Spark and tested on the parsed
 header, and payloads of records that fail them (or of all, with option payload=false) are skipped, not decoded.
+
+Archives are written as .warc.gz, a gzip member a record. Each member's extra field `sl` holds its compressed and
+plain lengths, so that a reader can inflate a header and go on to the next member. Other .warc and .warc.gz files are
+read too.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import posixpath
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +65,15 @@ def record(row: dict) -> bytes:
     return header(fields | {"Content-Type": "text/html", "Content-Length": len(block)}) + block + b"\r\n\r\n"
 
 
+def member(raw: bytes) -> bytes:
+    """A gzip member with its lengths in the extra field."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = deflate.compress(raw) + deflate.flush()
+    size = 24 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(raw) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+
+
 @dataclass
 class _Wrote(WriterCommitMessage):
     name: str
@@ -71,13 +87,13 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Wrote:
         fs, at = _store(self.path)
-        name, records = f"part-{uuid.uuid4().hex}.warc", 0
+        name, records = f"part-{uuid.uuid4().hex}.warc.gz", 0
         fs.create_dir(at, recursive=True)
         with fs.open_output_stream(posixpath.join(at, name), buffer_size=1 << 20) as out:
             for batch in iterator:
                 for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                     for row in part.to_pylist():
-                        out.write(record(row))
+                        out.write(member(record(row)))
                         records += 1
             size = out.tell()
         return _Wrote(name, size, records)
@@ -141,10 +157,8 @@ class WarcReader(DataSourceReader):
         fs, at = _store(self.path)
         rows, size = [], 0
         for name in partition.names:
-            gz = name.endswith(".gz")
-            full = posixpath.join(at, name)
-            with fs.open_input_stream(full, compression="gzip", buffer_size=0) if gz else fs.open_input_file(full) as f:
-                for row in read_records(f, self.tests, self.payload, seekable=not gz):
+            with fs.open_input_file(posixpath.join(at, name)) as f:
+                for row in records_of(f, name.endswith(".gz"), self.tests, self.payload):
                     rows.append(row)
                     size += len(row[-1] or b"") + 500
                     if size >= BATCH_BYTES:
@@ -162,6 +176,69 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, [*HEADERS, "payload"])
 
 
+def records_of(f, gz: bool, tests: dict[str, set], payload: bool) -> Iterator[tuple]:
+    """Records of an open archive of any of the three layouts."""
+    if not gz:
+        return read_records(f, tests, payload, seekable=True)
+    if _member_size(f.read(24)):
+        return read_members(f, tests, payload)
+    f.seek(0)
+    return read_records(gzip.GzipFile(fileobj=f), tests, payload, seekable=False)
+
+
+def _member_size(head: bytes) -> int:
+    """The length of a gzip member that begins so; 0 if it doesn't say."""
+    if len(head) < 24 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"sl\x08\0":
+        return 0
+    return struct.unpack("<I", head[16:20])[0]
+
+
+def read_members(f, tests: dict[str, set], payload: bool, peek: int = 4096) -> Iterator[tuple]:
+    """Records of an archive whose members say their lengths: only wanted blocks are read and inflated in full."""
+    at, end = 0, f.size()
+    while at < end:
+        f.seek(at)
+        data = f.read(min(peek, end - at))
+        size = _member_size(data[:24])
+        if not size or at + size > end:
+            raise ValueError("a WARC member ends early")
+        inflate = zlib.decompressobj(-15)
+        raw, fed = inflate.decompress(data[24 : size - 8], peek), min(len(data), size)
+        while raw.find(b"\r\n\r\n") < 0:
+            more = inflate.unconsumed_tail
+            if not more:
+                more = f.read(min(peek, size - fed))
+                fed += len(more)
+                if not more:
+                    raise ValueError("a WARC record ends within its header")
+            raw += inflate.decompress(more, peek)
+        cut = raw.find(b"\r\n\r\n") + 4
+        row, length = parse_header(raw[: cut - 4])
+        if all(row[c] in v for c, v in tests.items()):
+            block = None
+            if payload:
+                rest = inflate.unconsumed_tail + (f.read(size - fed) if size > fed else b"")
+                block = (raw[cut:] + inflate.decompress(rest))[:length]
+                if len(block) < length:
+                    raise ValueError("a WARC record ends within its block")
+            yield (*row.values(), block)
+        at += size
+
+
+def parse_header(raw: bytes) -> tuple[dict, int]:
+    """The header columns of a record, and the length of its block."""
+    lines = raw.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {lines[0][:60]!r}")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    length = int(fields["content-length"])
+    row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
+    if row["payload_digest"] and row["payload_digest"].startswith("sha256:"):
+        row["payload_digest"] = row["payload_digest"][7:]
+    row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else length
+    return row, length
+
+
 def read_records(f, tests: dict[str, set], payload: bool, seekable: bool, chunk: int = 1 << 20) -> Iterator[tuple]:
     """Records of an archive as rows of FIELDS: headers first; a block is sliced out only if its record is wanted."""
     data, at, done = b"", 0, False
@@ -183,15 +260,7 @@ def read_records(f, tests: dict[str, set], payload: bool, seekable: bool, chunk:
                         raise ValueError("a WARC record ends within its header")
                     return
                 more(len(data) - at + 1)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:60]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(fields["content-length"])
-        row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
-        if row["payload_digest"] and row["payload_digest"].startswith("sha256:"):
-            row["payload_digest"] = row["payload_digest"][7:]
-        row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else length
+        row, length = parse_header(data[at:end])
         at = end + 4
         wanted = all(row[c] in v for c, v in tests.items())
         if wanted and payload:
