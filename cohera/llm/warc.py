@@ -89,7 +89,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, at = _store(self.path)
         name, records = f"part-{uuid.uuid4().hex}.warc.gz", 0
         fs.create_dir(at, recursive=True)
-        with fs.open_output_stream(posixpath.join(at, name), buffer_size=1 << 20) as out:
+        with fs.open_output_stream(posixpath.join(at, name), compression=None, buffer_size=1 << 20) as out:
             for batch in iterator:
                 for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                     for row in part.to_pylist():
