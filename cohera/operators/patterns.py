@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Properties of elements that are measured, and those that identify.
-MEASURED = ("electronegativity_pauling", "first_ionization_energy_kJ_mol", "density_g_cm3", "melting_point_K", "boiling_point_K", "atomic_radius_pm", "atomic_mass")
+MEASURED = ("electronegativity_pauling", "first_ionization_energy_kJ_mol", "density_g_cm3", "melting_point_K", "boiling_point_K", "electron_affinity_kJ_mol", "atomic_mass_u")
 GROUPING = ("group", "period")
 # Categories of at most 8 members that are linked throughout.
 SMALL_CATEGORIES = ("alkali metal", "alkaline earth metal", "noble gas", "diatomic nonmetal", "metalloid")
