@@ -129,7 +129,7 @@ def parse_zoo(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     schema = "name string, desc string, description string, content string, formal string, notes string, type string, alias string, ref string, properties array<string>, related array<string>, impliedby string, implies array<string>, not_implies array<string>"
     every = None
     for k, source in enumerate(ZOO_PREFIX):
-        one = spark.read.schema(schema).json(f"{folder}/{source}.json", multiLine=True).withColumns({"source": F.lit(source), "k": F.lit(k)})
+        one = spark.read.schema(schema).json(f"{folder}/{source}.json", multiLine=True).withColumns({"source": F.lit(source), "k": F.struct(F.lit(k), F.monotonically_increasing_id())})
         every = one if every is None else every.unionByName(one)
     i = F.concat(_map(ZOO_PREFIX, F.col("source"), ""), F.lit("_"), F.regexp_replace(F.trim("name"), r"\s+", "_"))
     every = every.withColumn("id", i)
