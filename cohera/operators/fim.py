@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohera.operators import graph
 from cohera.operators.graph import EPS, MAX_SCORE
+from cohera.operators.vectors import similar
 
 SPECTRUM = "center string, d_eff int, participation_ratio double, disorder_index double, sv_profile array<double>, raw_sigmas array<double>"
 
@@ -80,19 +81,17 @@ def sweep(vertices: DataFrame, edges: DataFrame, kernel: str = "exponential", al
     if kernel == "exponential":
         values = graph.distances(vertices, edges, directed, weighted).withColumn("kv", graph.exponential_kernel(F.col("d"), alpha))
     else:
-        e = embeddings.select(F.col("id").cast("string").alias("id"), "vec") if embeddings is not None else None
-        pairs = None
-        if e is not None:
-            # Every center, or neighbour of one, against all embedded vertices: that is what the kernel is defined on.
+        values = vertices.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("kv"))
+        if embeddings is not None and kernel in ("correlation", "weighted_hop"):
+            # Every center, and neighbour of one, against all embedded vertices (what the kernel is defined on), in blocks.
+            e = embeddings.select(F.col("id").cast("string").alias("id"), "vec")
             asked = able.select("center").unionByName(nbs.join(able, "center", "left_semi").select(F.col("nb").alias("center"))).distinct()
-            left = e.join(asked, F.col("id") == F.col("center"), "left_semi").select(F.col("id").alias("src"), F.col("vec").alias("va"), F.lit(1).alias("one"))
-            pairs = left.join(e.select(F.col("id").alias("dst"), F.col("vec").alias("vb"), F.lit(1).alias("one")), "one").drop("one")
+            pairs = similar(e.join(asked, F.col("id") == F.col("center"), "left_semi"), e)
+            values = pairs.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.greatest(F.lit(0.0), "cosine").alias("kv"))
             if kernel == "weighted_hop":
                 d = graph.distances(vertices, edges, directed, weighted)
-                pairs = graph.weighted_hop_kernel(pairs.join(d, ["src", "dst"], "left"), "va", "vb", "d", alpha)
-            else:
-                pairs = graph.correlation_kernel(pairs, "va", "vb")
-        values = pairs.select("src", "dst", F.col("k").alias("kv")) if pairs is not None else vertices.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("kv"))
+                hop = F.coalesce(graph.exponential_kernel(F.col("d"), alpha), F.lit(0.0))
+                values = values.join(d, ["src", "dst"], "left").select("src", "dst", (F.col("kv") * hop).alias("kv"))
     rows = values.select("src", F.struct("dst", "kv").alias("x")).groupBy("src").agg(F.collect_list("x").alias("row"))
     roles = able.select("center", F.col("center").alias("src")).unionByName(nbs.join(able, "center", "left_semi").select("center", F.col("nb").alias("src")))
     roles = roles.withColumn("own", F.col("center") == F.col("src"))

@@ -14,7 +14,7 @@ from cohera.plans.shared import cut
 
 EPS, MAX_SCORE = 1e-10, 20.0
 #: Edges that may be broadcast to each worker for shortest paths (about 100 bytes each there).
-MOST_BROADCAST_EDGES = 2_000_000
+MOST_BROADCAST_EDGES = 500_000
 
 
 def tier_weight(tier: Column) -> Column:

@@ -177,12 +177,12 @@ def _bundle(spark, d):
 
 
 def _sections(spark, d):
-    part = tables.read(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("entry_id"), F.col("p_type").alias("content"))
+    part = tables.read(spark, d, "part").filter("p_size < 25").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("entry_id"), F.col("p_type").alias("content"))
     nation = tables.read(spark, d, "nation").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("entry_id"), F.col("n_name").alias("content"))
     return part.unionByName(nation)
 
 
-SECTIONS_SQL = "sections AS (SELECT 'part_' || p_partkey AS entry_id, p_type AS content FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation)"
+SECTIONS_SQL = "sections AS (SELECT 'part_' || p_partkey AS entry_id, p_type AS content FROM part WHERE p_size < 25 UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation)"
 ISO_SQL = "iso AS (SELECT id FROM entries WHERE id NOT IN (SELECT source_id FROM links) AND id NOT IN (SELECT target_id FROM links))"
 
 
@@ -403,16 +403,16 @@ def v06_centroid_outliers(spark, d):
     return snapshots.isolated_chunks(snapshots.centroid_distances(chunks)).select("chunk_id", "centroid_distance", F.round("z", 4).alias("z"))
 
 
-@query(f"""WITH {V_SQL}, near AS (SELECT * FROM (SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a JOIN v b ON a.id % 50 = 0 AND b.id % 2 = 1 AND list_cosine_similarity(a.e, b.e) >= 0.15) WHERE r <= 15),
+@query(f"""WITH {V_SQL}, near AS (SELECT * FROM (SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a JOIN v b ON a.id % 2 = 0 AND b.id % 2 = 1 AND list_cosine_similarity(a.e, b.e) >= 0.15) WHERE r <= 15),
 st AS (SELECT * FROM near WHERE c >= 0.25), tn AS (SELECT vec_id AS a, vec_id + 2 AS b FROM embeddings WHERE vec_id % 3 = 1),
 bad AS (SELECT DISTINCT id, unnest([x.other, y.other]) AS other FROM st x JOIN tn ON tn.a = x.other JOIN st y USING (id) WHERE y.other = tn.b),
 g AS (SELECT near.id, count(*) FILTER (WHERE c >= 0.25 AND bad.id IS NULL) AS n_support, count(bad.id) AS n_contradict, count(*) FILTER (WHERE c < 0.25) AS n_related, max(c) AS best FROM near LEFT JOIN bad USING (id, other) GROUP BY near.id)
 SELECT v.id, coalesce(n_support, 0) AS n_support, coalesce(n_contradict, 0) AS n_contradict, coalesce(n_related, 0) AS n_related, round(best, 6) AS best,
-       round(coalesce(least(1.0, greatest(0.0, (n_support - 0.5 * n_contradict) / greatest(1, n_support + n_contradict + n_related))), 0), 6) AS score FROM v LEFT JOIN g USING (id) WHERE v.id % 50 = 0""")
+       round(coalesce(least(1.0, greatest(0.0, (n_support - 0.5 * n_contradict) / greatest(1, n_support + n_contradict + n_related))), 0), 6) AS score FROM v LEFT JOIN g USING (id) WHERE v.id % 2 = 0""")
 def v07_claim_validation(spark, d):
     v = tables.vectors(spark, d)
     tense = v.filter("id % 3 = 1").select(F.col("id").alias("source_id"), (F.col("id") + 2).alias("target_id"), F.lit("tensions with").alias("link_type"))
-    out = vec.validate_claim(v.filter("id % 50 = 0"), v.filter("id % 2 = 1"), tense, 15, 0.25, 0.15)
+    out = vec.validate_claim(*_sides(spark, d), tense, 15, 0.25, 0.15)
     return out.select("id", "n_support", "n_contradict", "n_related", r6("best", "best"), r6("score", "score"))
 
 
@@ -430,14 +430,14 @@ def v09_best_chunks(spark, d):
     return vec.best_chunks(chunks, own, 20).select("id", "entry_id", r6("similarity", "similarity"))
 
 
-@query(f"""WITH {V_SQL}, near AS (SELECT * FROM (SELECT a.id, b.label, list_cosine_similarity(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a JOIN v b ON a.id % 10 = 0 AND b.id % 2 = 1) WHERE r <= 30),
+@query(f"""WITH {V_SQL}, near AS (SELECT * FROM (SELECT a.id, b.label, list_cosine_similarity(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a JOIN v b ON a.id % 2 = 0 AND b.id % 2 = 1) WHERE r <= 30),
 g AS (SELECT id, label AS entry_id, max(c) AS s FROM near GROUP BY 1, 2)
 SELECT id, entry_id, round(s, 6) AS similarity, CASE WHEN s >= 0.85 THEN 'tier-1' WHEN s >= 0.75 THEN 'tier-1.5' ELSE 'tier-2' END AS channel
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, entry_id) AS k FROM g WHERE s >= 0.2) WHERE k <= 10""")
 def v10_resolve_claims(spark, d):
     v = tables.vectors(spark, d)
     chunks = v.filter("id % 2 = 1").select(F.col("id").alias("chunk_id"), F.col("label").alias("entry_id"), "vec")
-    return vec.resolve_claims(v.filter("id % 10 = 0").select("id", "vec"), chunks, 10, 0.2).select("id", "entry_id", r6("similarity", "similarity"), "channel")
+    return vec.resolve_claims(v.filter("id % 2 = 0").select("id", "vec"), chunks, 10, 0.2).select("id", "entry_id", r6("similarity", "similarity"), "channel")
 
 
 # ---- bridges -----------------------------------------------------------------------------------------------------

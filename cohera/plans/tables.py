@@ -47,7 +47,7 @@ ENTRIES_SQL = """entries AS (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(link_type, source_id, target_id, confidence_tier): nation to region, supplier and customer to nation."""
+    """(link_type, source_id, target_id, confidence_tier): nation to region, supplier and (of some balance) customer to nation."""
     t = lambda n: read(spark, sf_dir, n)
 
     def made(df: DataFrame, kind: str, src, dst, tier) -> DataFrame:
@@ -55,14 +55,14 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = made(t("nation"), "derives from", _id("nation", "n_nationkey"), _id("region", "n_regionkey"), F.lit("1"))
     s = made(t("supplier"), "couples to", _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), F.lit("1.5"))
-    c = made(t("customer").filter("c_custkey % 3 <> 0"), "analogous to", _id("customer", "c_custkey"), _id("nation", "c_nationkey"), F.when(F.col("c_custkey") % 2 == 0, "2"))
+    c = made(t("customer").filter("c_acctbal >= 1000"), "analogous to", _id("customer", "c_custkey"), _id("nation", "c_nationkey"), F.when(F.col("c_acctbal") >= 5000, "2"))
     return n.unionByName(s).unionByName(c)
 
 
 LINKS_SQL = """links AS (
   SELECT 'derives from' AS link_type, 'nation_' || n_nationkey AS source_id, 'region_' || n_regionkey AS target_id, '1' AS confidence_tier FROM nation
   UNION ALL SELECT 'couples to', 'supplier_' || s_suppkey, 'nation_' || s_nationkey, '1.5' FROM supplier
-  UNION ALL SELECT 'analogous to', 'customer_' || c_custkey, 'nation_' || c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN '2' END FROM customer WHERE c_custkey % 3 <> 0)"""
+  UNION ALL SELECT 'analogous to', 'customer_' || c_custkey, 'nation_' || c_nationkey, CASE WHEN c_acctbal >= 5000 THEN '2' END FROM customer WHERE c_acctbal >= 1000)"""
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,8 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stack(3, 'mathematical_archetype', p_type, 'dimensional_sensitivity', CASE WHEN p_size % 3 = 0 THEN 'Yes' WHEN p_size % 3 = 1 THEN 'no' ELSE '' END,"
         " 'concept_tags', CASE WHEN p_size < 40 THEN CAST(p_size AS STRING) END) AS (property_name, property_value)"
     ))
-    customer = t("customer").filter("c_custkey % 5 <> 0").select(_id("customer", "c_custkey").alias("entry_id"), F.lit("mathematical_archetype").alias("property_name"), F.col("c_mktsegment").alias("property_value"))
-    supplier = t("supplier").filter("s_suppkey % 4 = 0").select(_id("supplier", "s_suppkey").alias("entry_id"), F.lit("concept_tags").alias("property_name"), F.col("s_nationkey").cast("string").alias("property_value"))
+    customer = t("customer").filter("c_acctbal < 8000").select(_id("customer", "c_custkey").alias("entry_id"), F.lit("mathematical_archetype").alias("property_name"), F.col("c_mktsegment").alias("property_value"))
+    supplier = t("supplier").filter("s_acctbal < 2500").select(_id("supplier", "s_suppkey").alias("entry_id"), F.lit("concept_tags").alias("property_name"), F.col("s_nationkey").cast("string").alias("property_value"))
     return part.unionByName(customer).unionByName(supplier)
 
 
@@ -81,8 +81,8 @@ PROPERTIES_SQL = """props AS (
   SELECT 'part_' || p_partkey AS entry_id, 'mathematical_archetype' AS property_name, p_type AS property_value FROM part
   UNION ALL SELECT 'part_' || p_partkey, 'dimensional_sensitivity', CASE WHEN p_size % 3 = 0 THEN 'Yes' WHEN p_size % 3 = 1 THEN 'no' ELSE '' END FROM part
   UNION ALL SELECT 'part_' || p_partkey, 'concept_tags', CASE WHEN p_size < 40 THEN CAST(p_size AS VARCHAR) END FROM part
-  UNION ALL SELECT 'customer_' || c_custkey, 'mathematical_archetype', c_mktsegment FROM customer WHERE c_custkey % 5 <> 0
-  UNION ALL SELECT 'supplier_' || s_suppkey, 'concept_tags', CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_suppkey % 4 = 0)"""
+  UNION ALL SELECT 'customer_' || c_custkey, 'mathematical_archetype', c_mktsegment FROM customer WHERE c_acctbal < 8000
+  UNION ALL SELECT 'supplier_' || s_suppkey, 'concept_tags', CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_acctbal < 2500)"""
 
 
 def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
