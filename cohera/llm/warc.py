@@ -74,6 +74,15 @@ def member(raw: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
+def _manifest(fs: pafs.FileSystem, at: str) -> list[list] | None:
+    """[name, size, records] of each archive; None where there is no manifest."""
+    listed = posixpath.join(at, MANIFEST)
+    if fs.get_file_info(listed).type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(listed) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class _Wrote(WriterCommitMessage):
     name: str
@@ -82,8 +91,8 @@ class _Wrote(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Wrote:
         fs, at = _store(self.path)
@@ -101,7 +110,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Wrote | None]) -> None:
         fs, at = _store(self.path)
         fs.create_dir(at, recursive=True)
-        listed = [[m.name, m.size, m.records] for m in messages if m]
+        old = [] if self.overwrite else _manifest(fs, at) or []
+        listed = old + [[m.name, m.size, m.records] for m in messages if m]
         with fs.open_output_stream(posixpath.join(at, MANIFEST)) as out:
             out.write(json.dumps(listed).encode())
 
@@ -135,10 +145,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[_Files]:
         """Archives, largest first, in runs of about split_bytes."""
         fs, at = _store(self.path)
-        listed = posixpath.join(at, MANIFEST)
-        if fs.get_file_info(listed).type == pafs.FileType.File:
-            with fs.open_input_stream(listed) as f:
-                files = [(n, s) for n, s, _ in json.loads(f.read())]
+        listed = _manifest(fs, at)
+        if listed is not None:
+            files = [(n, size) for n, size, _ in listed]
         else:
             found = fs.get_file_info(pafs.FileSelector(at)) if fs.get_file_info(at).type == pafs.FileType.Directory else [fs.get_file_info(at)]
             files = [(i.base_name, i.size) for i in found if i.type == pafs.FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
@@ -298,7 +307,7 @@ class WarcDataSource(DataSource):
         return WarcReader(o["path"], int(o.get("splitbytes", 32_000_000)), str(o.get("payload", "true")).lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

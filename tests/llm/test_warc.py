@@ -30,13 +30,22 @@ def test_round_trip_and_revisits(spark, tmp_path):
     assert back["<urn:page:3>"][0].refers_to == "<urn:page:1>"
 
 
+def test_appending_keeps_earlier_archives(spark, tmp_path):
+    pages, rows = _pages(spark)
+    path = f"file://{tmp_path}/w"
+    for _ in range(2):
+        warc.write_warc(warc.deduplicated_records(pages), path)
+    (tmp_path / "w" / "part-lost-attempt.warc.gz").write_bytes(b"left behind")
+    assert warc.read_warc(spark, path).count() == 2 * len(rows)
+
+
 def test_pushed_predicates_skip_payloads(spark, tmp_path):
     pages, _ = _pages(spark)
     path = f"file://{tmp_path}/w"
     warc.write_warc(warc.deduplicated_records(pages), path)
     df = warc.read_warc(spark, path).filter("record_type = 'revisit'")
     assert df.count() == 3
-    assert "Filter (" not in df._jdf.queryExecution().executedPlan().toString() or "PushedFilters" in df._jdf.queryExecution().executedPlan().toString()
+    assert "= revisit)" not in df._jdf.queryExecution().executedPlan().toString()  # the reader has taken it over
     assert warc.read_warc(spark, path, payload=False).filter("payload is not null").count() == 0
     tests = {"record_type": {"response"}}
     raw = warc.record({"record_id": "<a>", "record_type": "revisit", "target_uri": None, "payload_digest": None, "payload_length": 9, "refers_to": None, "payload": None})
