@@ -10,13 +10,13 @@ document's score is the sum of log p(token | both sides) over its tokens.
 from __future__ import annotations
 
 import io
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +27,8 @@ from cohera.plans.shared import written
 KNOWN, BUCKETS = 4_096, 256
 CLASSES = 64
 WIDTH, SIDE = 16, 2
-BATCH = 8_192
-RATE = 0.08
+BATCH = 16_384
+RATE = 0.11
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -36,20 +36,23 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+class _Numbers(dict):
+    """Numbers of known words; any other word's is its bucket's."""
+
+    def __missing__(self, word: bytes) -> int:
+        return KNOWN + zlib.crc32(word) % BUCKETS
+
+
 class Vocabulary:
     """Word numbers: by falling frequency, then the buckets, then the mark outside documents."""
 
     def __init__(self, ordered: list[bytes]):
-        self.number = {w: i for i, w in enumerate(ordered)}
-        self.first_bucket = KNOWN
+        self.number = _Numbers((w, i) for i, w in enumerate(ordered))
         self.outside = KNOWN + BUCKETS
 
     def encode(self, text: bytes | None) -> np.ndarray:
-        own, get = words(text), self.number.get
-        ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = self.first_bucket + xxhash.xxh32_intdigest(own[i]) % BUCKETS
-        return ids
+        own = words(text)
+        return np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
 
     def flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(numbers with marks between documents, places of tokens, document of each token)."""
@@ -100,6 +103,13 @@ class Network:
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
     def log_probs(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log p(token | both sides) at each place."""
         out = np.empty(len(place), np.float32)
@@ -107,7 +117,7 @@ class Network:
             at = place[lo : lo + BATCH]
             target = ids[at]
             cls, within = target // self.per_class, target % self.per_class
-            order = np.argsort(cls, kind="stable")
+            order = np.argsort(cls.astype(np.int16), kind="stable")
             at, cls, within = at[order], cls[order], within[order]
             h, _ = self.hidden(ids, at)
             z = self._log_softmax(h @ self.p["cls"] + self.p["cls_bias"])
@@ -127,11 +137,11 @@ class Network:
             at = place[lo : lo + BATCH]
             target = ids[at]
             cls, within = target // self.per_class, target % self.per_class
-            order = np.argsort(cls, kind="stable")
+            order = np.argsort(cls.astype(np.int16), kind="stable")
             at, cls, within = at[order], cls[order], within[order]
             n = np.float32(len(at))
             h, around = self.hidden(ids, at)
-            g = np.exp(self._log_softmax(h @ p["cls"] + p["cls_bias"]))
+            g = self._softmax(h @ p["cls"] + p["cls_bias"])
             g[np.arange(len(at)), cls] -= 1
             dh = g @ p["cls"].T
             self._step("cls", ..., h.T @ g / n, memory)
@@ -139,7 +149,7 @@ class Network:
             ends = np.searchsorted(cls, np.arange(CLASSES + 1))
             for c in np.unique(cls).tolist():
                 a, b = ends[c], ends[c + 1]
-                g = np.exp(self._log_softmax(h[a:b] @ p["out"][c] + p["out_bias"][c]))
+                g = self._softmax(h[a:b] @ p["out"][c] + p["out_bias"][c])
                 g[np.arange(b - a), within[a:b]] -= 1
                 dh[a:b] += g @ p["out"][c].T
                 self._step("out", c, h[a:b].T @ g / n, memory)
@@ -147,7 +157,7 @@ class Network:
             dx = dh * (1 - h * h) / n
             self._step("bias", ..., dx.sum(0), memory)
             for k, ctx in enumerate(around):
-                by = np.argsort(ctx, kind="stable")
+                by = np.argsort(ctx.astype(np.int16), kind="stable")
                 ordered = ctx[by]
                 first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
                 self._step("emb", (k, ordered[first]), np.add.reduceat(dx[by], first, axis=0), memory)
@@ -198,7 +208,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """
     spark = docs.sparkSession
     counted = written(count_words(docs, text_col), "words")
-    rest = F.pmod(F.xxhash64("word"), F.lit(BUCKETS))
+    rest = (F.crc32("word") % BUCKETS).cast("int")
     top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     vocabulary = Vocabulary([bytes(r["word"]) for r in top])
     counts = np.zeros(Network._TOTAL)
@@ -229,7 +239,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     models = every.mapInArrow(own, _MODEL).filter("n > 0")
     network = Network.unpack(common.value[1])
     flat, shapes = _flatten(network)
-    block = 65_536
+    block = 8_192
     blocks = models.mapInArrow(_cut_blocks(block), "block int, n bigint, part binary")
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
