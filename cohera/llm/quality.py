@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohera.plans.shared import cut, salted_lookup
+from cohera.plans.shared import cut, salted_lookup, written
 
 SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\f\r"
@@ -102,15 +102,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("host_rejected")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns. Hosts are judged over all of `docs`."""
-    narrow = cut(text_features(docs.select(text_col, F.col(host_col).alias("_host")), text_col).select("_host", "base_failed"))
-    hosts = cut(host_verdicts(narrow, "_host", limit).filter("host_rejected").select(F.col("_host").alias(host_col)))
-    text = F.struct(*[F.col(c) for c in docs.columns])
-    rows = docs.withColumn("_row", text).select("_row", F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
-    good = text_features(rows, "_text").filter(~F.col("base_failed"))
-    lost = hosts.withColumn("_lost", F.lit(True)).withColumnRenamed(host_col, "_host")
-    return good.join(lost, "_host", "left").filter("_lost is null").select("_row.*")
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
+    """The rows of `docs` that `judge` would keep, with all their columns. Hosts are judged over all of `docs`.
+
+    `docs` is a stored table: rows are told apart by their place in it. Texts are read for the features once and not
+    shuffled for the hosts' sake: verdicts are joined to narrow rows, and only the places of lost rows come back.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    text, host = F.col("_row").getField(text_col).alias("_text"), F.col("_row").getField(host_col).alias("_host")
+    narrow = written(text_features(rows.select("_at", text, host), "_text").select("_at", "_host", "base_failed"), "judged")
+    hosts = written(host_verdicts(narrow, "_host", limit).filter("host_rejected").select("_host", "host_rejected"), "hosts")
+    lost = salted_lookup(narrow, hosts, "_host", "_at").filter(F.col("base_failed") | F.coalesce("host_rejected", F.lit(False)))
+    return rows.join(written(lost.select("_at"), "lost"), "_at", "left_anti").select("_row.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
