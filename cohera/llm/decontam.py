@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Words are runs of 0-9, a-z and every byte of a non-ASCII character; A-Z are lower-cased.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Words of documents that one index covers.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -87,7 +87,7 @@ def phrase_matches(post: Postings, windows: Windows) -> tuple[np.ndarray, np.nda
         rarest = np.argsort(counts, axis=1, kind="stable")
         anchor = rows[np.arange(len(rows)), rarest[:, 0]]
         lengths = post.counts[anchor]
-        step = max(1, int(np.searchsorted(np.cumsum(lengths), 4_000_000)))
+        step = max(1, int(np.searchsorted(np.cumsum(lengths), 1_000_000)))
         for a in range(0, len(rows), step):
             part = slice(a, a + step)
             size = lengths[part]

@@ -26,7 +26,7 @@ _BITS, _SIEVE = np.uint64(24), 20
 
 @cache
 def _hashes() -> Memory:
-    return Memory(lambda w: xxhash.xxh64_intdigest(w), 300_000)
+    return Memory(lambda w: xxhash.xxh64_intdigest(w), 150_000)
 
 
 def features(text: bytes | None) -> np.ndarray:
