@@ -8,7 +8,6 @@ sorted array of hashes and weights. A text's score is the logistic of the bias a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohera.llm.memory import Memory
 
 #: A-Z in lower case; every ASCII character that is no letter or digit parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BITS, _SIEVE = np.uint64(24), 20
 
 
-@cache
-def _hashes() -> Memory:
-    return Memory(lambda w: xxhash.xxh64_intdigest(w), 150_000)
-
-
 def features(text: bytes | None) -> np.ndarray:
     """Hashes of the text's words, neighbouring pairs and pairs around one word, repeats included."""
     words = (text or b"").translate(_FOLD).split()
-    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     mixed = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29))
     pairs = (mixed[:-1] * np.uint64(3) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     skips = (mixed[:-2] * np.uint64(5) + h[2:]) * np.uint64(0x165667B19E3779F9)
