@@ -23,7 +23,7 @@ from cohera.plans.shared import cut, salted_lookup, written
 
 SEED = 42
 #: Rows of whole buckets that one trie is built over, and node pairs held at once.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 2_000_000
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 50_000, 250_000
 
 
 def fingerprint(text: bytes, shingle_words: int = 3) -> int:
@@ -75,7 +75,7 @@ def trie_links(values: np.ndarray, bucket: np.ndarray, budget: int) -> tuple[np.
 
     def middle(depth: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         if depth not in before:
-            before[depth] = np.r_[0, np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)]
+            before[depth] = np.r_[0, np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)].astype(np.int32)
         return high - (before[depth][high] - before[depth][low])
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
