@@ -3,7 +3,8 @@
 The network predicts each token from the two on either side: their embeddings (one table a place) are added and
 squashed, and a two-step softmax gives the token's class and the token within its class. The vocabulary is counted
 over all documents. Training begins with a bounded sample in one task, which gives all a common start; then every
-partition goes over all of its documents once, and the partitions' parameters are averaged by tokens seen. A
+partition goes over all of its documents once, and the partitions' parameters are averaged by tokens seen. Words
+without a number of their own share a bucket, and each has its share of the bucket's tokens over the whole corpus. A
 document's score is the sum of log p(token | both sides) over its tokens.
 """
 
@@ -17,15 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohera.plans.shared import written
 
-#: Words with a number of their own, and buckets that all other words share by hash.
+#: Words with a number of their own at least, and buckets that all other words share by hash.
 KNOWN, BUCKETS = 4_096, 256
 CLASSES = 64
+#: Distinct words up to which KNOWN and CLASSES hold; beyond, classes grow with the eighth root of their number.
+DISTINCT = 400_000
 WIDTH, SIDE = 16, 2
 BATCH = 16_384
 RATE = 0.11
@@ -36,19 +40,42 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def sizes(distinct: int) -> tuple[int, int]:
+    """(words with a number of their own, classes) for so many distinct words; a class has about as many words as there are classes."""
+    classes = max(CLASSES, int(np.ceil(CLASSES * (distinct / DISTINCT) ** 0.125)))
+    return classes * (classes + BUCKETS // CLASSES) - BUCKETS, classes
+
+
 class _Numbers(dict):
     """Numbers of known words; any other word's is its bucket's."""
 
+    def __init__(self, ordered: list[bytes], known: int):
+        super().__init__((w, i) for i, w in enumerate(ordered))
+        self.known = known
+
     def __missing__(self, word: bytes) -> int:
-        return KNOWN + zlib.crc32(word) % BUCKETS
+        return self.known + zlib.crc32(word) % BUCKETS
+
+    def __reduce__(self):
+        return _Numbers, (list(self), self.known)
 
 
 class Vocabulary:
     """Word numbers: by falling frequency, then the buckets, then the mark outside documents."""
 
-    def __init__(self, ordered: list[bytes]):
-        self.number = _Numbers((w, i) for i, w in enumerate(ordered))
-        self.outside = KNOWN + BUCKETS
+    def __init__(self, ordered: list[bytes], known: int = KNOWN, in_buckets: np.ndarray | None = None):
+        """`in_buckets`: tokens of each bucket over all documents."""
+        self.known, self.number = known, _Numbers(ordered, known)
+        self.outside = known + BUCKETS
+        #: By number: log of what a word's count is divided by; one token of a bucket is kept for words never seen.
+        self.log_total = np.zeros(self.outside)
+        if in_buckets is not None:
+            self.log_total[known:] = np.log(in_buckets + 1.0)
+
+    def rare(self, text: bytes | None, ids: np.ndarray) -> np.ndarray:
+        """Hashes (Spark's xxhash64) of the text's words that only have a bucket; `ids` are its words' numbers."""
+        own, at = words(text), np.flatnonzero(ids >= self.known).tolist()
+        return np.fromiter((xxhash.xxh64_intdigest(own[i], 42) for i in at), np.uint64, len(at)).view(np.int64)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         own = words(text)
@@ -72,22 +99,23 @@ class Network:
     """Parameters: emb (place, word, width), bias; class and word softmax weights."""
 
     NAMES = ("emb", "bias", "cls", "cls_bias", "out", "out_bias")
+    #: The least size.
     _TOTAL = KNOWN + BUCKETS
     OFFSETS = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
-        self.per_class = self._TOTAL // CLASSES
+        self.classes, _, self.per_class = params["out"].shape
 
     @classmethod
-    def fresh(cls, counts: np.ndarray, seed: int = 42) -> Network:
+    def fresh(cls, counts: np.ndarray, seed: int = 42, classes: int = CLASSES) -> Network:
         """Small random embeddings; the output biases are the words' log frequencies."""
-        rng, m = np.random.default_rng(seed), cls._TOTAL // CLASSES
-        c = (counts + 1.0).reshape(CLASSES, m)
+        rng, m = np.random.default_rng(seed), len(counts) // classes
+        c = (counts + 1.0).reshape(classes, m)
         return cls({
-            "emb": rng.normal(0, 0.1, (2 * SIDE, cls._TOTAL + 1, WIDTH)).astype(np.float32), "bias": np.zeros(WIDTH, np.float32),
-            "cls": np.zeros((WIDTH, CLASSES), np.float32), "cls_bias": np.log(c.sum(1) / c.sum()).astype(np.float32),
-            "out": np.zeros((CLASSES, WIDTH, m), np.float32), "out_bias": np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
+            "emb": rng.normal(0, 0.1, (2 * SIDE, len(counts) + 1, WIDTH)).astype(np.float32), "bias": np.zeros(WIDTH, np.float32),
+            "cls": np.zeros((WIDTH, classes), np.float32), "cls_bias": np.log(c.sum(1) / c.sum()).astype(np.float32),
+            "out": np.zeros((classes, WIDTH, m), np.float32), "out_bias": np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
         })
 
     def hidden(self, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -122,7 +150,7 @@ class Network:
             h, _ = self.hidden(ids, at)
             z = self._log_softmax(h @ self.p["cls"] + self.p["cls_bias"])
             lp = z[np.arange(len(at)), cls]
-            ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+            ends = np.searchsorted(cls, np.arange(self.classes + 1))
             for c in np.unique(cls).tolist():
                 a, b = ends[c], ends[c + 1]
                 z = self._log_softmax(h[a:b] @ self.p["out"][c] + self.p["out_bias"][c])
@@ -146,7 +174,7 @@ class Network:
             dh = g @ p["cls"].T
             self._step("cls", ..., h.T @ g / n, memory)
             self._step("cls_bias", ..., g.sum(0) / n, memory)
-            ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+            ends = np.searchsorted(cls, np.arange(self.classes + 1))
             for c in np.unique(cls).tolist():
                 a, b = ends[c], ends[c + 1]
                 g = self._softmax(h[a:b] @ p["out"][c] + p["out_bias"][c])
@@ -157,7 +185,7 @@ class Network:
             dx = dh * (1 - h * h) / n
             self._step("bias", ..., dx.sum(0), memory)
             for k, ctx in enumerate(around):
-                by = np.argsort(ctx.astype(np.int16), kind="stable")
+                by = np.argsort(ctx.astype(np.uint16) if len(p["emb"][k]) <= 65_536 else ctx, kind="stable")
                 ordered = ctx[by]
                 first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
                 self._step("emb", (k, ordered[first]), np.add.reduceat(dx[by], first, axis=0), memory)
@@ -200,28 +228,33 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2_000, most_models: int = 4_096) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of all documents. Only the common start is fitted on a sample (about `sample_docs`).
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2_000, most_models: int = 4_096) -> tuple[Vocabulary, Network, DataFrame]:
+    """Vocabulary and network of all documents, and the counts of words that share a bucket (h, log_n; without those
+    that occur once, whose log is 0). Only the common start is fitted on a sample (about `sample_docs`).
 
     Parameters are a few MB whatever the corpus; each partition sends its own through the shuffle, cut in blocks that
     are averaged in as many tasks. Beyond `most_models` partitions, neighbouring ones train one model.
     """
     spark = docs.sparkSession
     counted = written(count_words(docs, text_col), "words")
-    rest = (F.crc32("word") % BUCKETS).cast("int")
-    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    vocabulary = Vocabulary([bytes(r["word"]) for r in top])
-    counts = np.zeros(Network._TOTAL)
+    known, classes = sizes(counted.count())
+    top = counted.orderBy(F.desc("n"), "word").limit(known).collect()
+    counts = np.zeros(known + BUCKETS)
     counts[: len(top)] = [r["n"] for r in top]
-    least = top[-1]["n"] if len(top) == KNOWN else 0
-    others = counted.filter(F.col("n") < least).groupBy(rest.alias("b")).agg(F.sum("n").alias("n")).collect()
-    for r in others:
-        counts[KNOWN + r["b"]] = r["n"]
+    beyond = F.lit(False)
+    if len(top) == known:
+        least, last = top[-1]["n"], F.lit(bytes(top[-1]["word"]))
+        beyond = (F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last))
+    others = counted.filter(beyond)
+    for r in others.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
+        counts[known + r["b"]] = r["n"]
+    vocabulary = Vocabulary([bytes(r["word"]) for r in top], known, counts[known:])
+    shares = others.filter("n > 1").select(F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("log_n"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n_docs = rows.count()
     share = int(1_000_003 * min(1.0, sample_docs / max(n_docs, 1)))
     sample = rows.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_003)) < share).select("text")
-    begin = Network.fresh(counts).pack()
+    begin = Network.fresh(counts, classes=classes).pack()
     shared = spark.sparkContext.broadcast((vocabulary, begin))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +283,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     for r in blocks.groupBy("block").applyInPandas(average, "block int, part binary").collect():
         flat[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["part"], np.float32)
-    return vocabulary, _shaped(flat, shapes)
+    return vocabulary, _shaped(flat, shapes), shares
 
 
 _MODEL = "n bigint, params binary"
@@ -294,36 +327,44 @@ def _locally(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, raw: byt
     return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([network.pack()], pa.binary())], ["n", "params"])
 
 
-def score(docs: DataFrame, model: tuple[Vocabulary, Network], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, Network, DataFrame], text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs` with n_tokens, log_likelihood (summed) and mean_log_likelihood (null without a token) of whole texts.
 
-    A null text has no tokens. Words outside the vocabulary score as their bucket. Rows stay as they are; columns
-    named like the new ones are replaced; an empty table gives an empty one.
+    A null text has no tokens. A word without a number of its own scores as its bucket times its share of the bucket;
+    one that the model never saw, as one token of it. Rows stay as they are (without texts unless `keep_text`);
+    columns named like the new ones are replaced; an empty table gives an empty one. Rows are written once, so that
+    the shares of their words, met by hash, find them again.
     """
     kinds = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType(), "mean_log_likelihood": T.DoubleType()}
-    kept = docs.select(*[c for c in docs.columns if c not in kinds or c == text_col])
+    names = [c for c in docs.columns if c not in kinds and (keep_text or c != text_col)]
+    row = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in names]).alias("row")
+    kept = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].pack()))
-    at = kept.columns.index(text_col)
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, t) for c, t in kinds.items()]])
+    schema = T.StructType([kept.schema["row"], T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = shared.value[0], Network.unpack(shared.value[1])
         for batch in batches:
-            column, counts, sums = batch.column(at).cast(pa.binary()), [], []
+            column, counts, sums, rare = batch.column(1).cast(pa.binary()), [], [], []
             for lo in range(0, len(column), 500):
                 texts = column[lo : lo + 500].to_pylist()
                 ids, place, doc = vocabulary.flat(texts)
-                lp = network.log_probs(ids, place)
+                lp = network.log_probs(ids, place) - vocabulary.log_total[ids[place]]
                 counts.append(np.bincount(doc, minlength=len(texts)))
-                sums.append(np.bincount(doc, lp.astype(np.float64), len(texts)))
+                sums.append(np.bincount(doc, lp, len(texts)))
+                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+                rare += [vocabulary.rare(t, ids[place[a:b]]) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
             n, s = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((counts, np.int64), (sums, np.float64)))
-            mean = np.divide(s, n, out=np.zeros(len(n)), where=n > 0)
-            made = [pa.array(n.astype(np.int64)), pa.array(s), pa.array(mean, mask=n == 0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
+            at = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *rare])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), lists], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    found = written(kept.mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id()), "scored")
+    more = found.select("at", F.explode("rare").alias("h")).join(model[2], "h").groupBy("at").agg(F.sum("log_n").alias("more"))
+    out = found.drop("rare").join(more, "at", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
+    return out.select(*[F.col(f"row.`{c}`") for c in names], F.col("n").alias("n_tokens"), F.col("s").alias("log_likelihood"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean_log_likelihood"))
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs)).drop("text")
+    return score(docs, train(docs), keep_text=False)

@@ -54,3 +54,33 @@ def test_scores_follow_the_corpus(spark, no_docs, odd_docs):
     assert lmscore.score(no_docs, model).count() == 0
     odd = lmscore.score(odd_docs, lmscore.train(odd_docs)).collect()
     assert len(odd) == odd_docs.count() and all((r.mean_log_likelihood is None) == (r.n_tokens == 0) for r in odd)
+
+
+def test_words_of_a_bucket_have_their_shares(spark):
+    by, k = {}, 0
+    while max(map(len, by.values()), default=0) < 3:
+        by.setdefault(lmscore.zlib.crc32(b"r%d" % k) % lmscore.BUCKETS, []).append(f"r{k}")
+        k += 1
+    often, once, never = max(by.values(), key=len)
+    common = " ".join(f"c{i}" for i in range(lmscore.KNOWN))
+    docs = spark.createDataFrame([(1, " ".join([common] * 5)), (2, f"c1 c2 {often} c3 c4 {often} {often} {often} {once}")], "doc_id long, text string")
+    model = lmscore.train(docs)
+    asked = spark.createDataFrame([(w, f"c1 c2 {w} c3 c4") for w in (often, once, never)], "word string, text string")
+    got = {r.word: r.log_likelihood for r in lmscore.score(asked, model).collect()}
+    assert abs(got[often] - got[once] - np.log(4)) < 1e-6 and abs(got[once] - got[never]) < 1e-6
+    number = model[0].number[often.encode()]
+    assert number >= lmscore.KNOWN and abs(np.exp(model[0].log_total[number]) - (4 + 1 + 1)) < 1e-9
+
+
+def test_model_grows_with_the_corpus():
+    assert lmscore.sizes(400_000) == (lmscore.KNOWN, lmscore.CLASSES)
+    known, classes = lmscore.sizes(4_000_000)
+    total = known + lmscore.BUCKETS
+    assert known > 1.5 * lmscore.KNOWN and total % classes == 0
+    net = lmscore.Network.fresh(np.arange(total, dtype=float), classes=classes)
+    ids = np.array([total, total, 5, 77, 9, total, total])
+    probs = []
+    for w in range(total):
+        ids[3] = w
+        probs.append(float(np.exp(net.log_probs(ids, np.array([3]))[0])))
+    assert abs(sum(probs) - 1) < 1e-3
