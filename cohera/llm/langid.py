@@ -201,19 +201,26 @@ class Identifier:
         return out
 
     def calibrate(self, texts: list[str], langs: list[str], quantile: float = 0.999) -> None:
-        """Fit the logistic curve from lead to correctness, and each language's limit, on texts not trained on.
+        """Fit the logistic curve from lead to correctness, and each language's limit, on texts not trained on."""
+        self.fit(self.judged(texts, langs), quantile)
 
-        Two pseudo-rows (a tie that is half right) and a small ridge keep the curve finite where all are right.
-        """
-        xs, ys, lows = [0.0, 0.0], [0.0, 1.0], {}
+    def judged(self, texts: list[str], langs: list[str]) -> list[tuple[str, float, bool, float]]:
+        """(language, evidence, right, cross-entropy) of each text with a letter."""
+        out = []
         for found, lang in zip(self.entropies(texts), langs, strict=True):
-            if found is None:
-                continue
-            best = self.langs[int(np.argmin(found[0]))]
-            xs.append(self.evidence(*found))
-            ys.append(float(best == lang))
-            if best == lang:
-                lows.setdefault(lang, []).append(float(found[0].min()))
+            if found is not None:
+                best = int(np.argmin(found[0]))
+                out.append((lang, self.evidence(*found), self.langs[best] == lang, float(found[0][best])))
+        return out
+
+    def fit(self, judged: list[tuple[str, float, bool, float]], quantile: float = 0.999) -> None:
+        """Two pseudo-rows (a tie that is half right) and a small ridge keep the curve finite where all are right."""
+        xs, ys, lows = [0.0, 0.0], [0.0, 1.0], {}
+        for lang, evidence, right, low in judged:
+            xs.append(evidence)
+            ys.append(float(right))
+            if right:
+                lows.setdefault(lang, []).append(low)
         x, y, ab = np.stack([np.ones(len(xs)), xs], axis=1), np.array(ys), np.array([0.0, 1.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
@@ -227,7 +234,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most about `most_docs` whole texts a language (the sample's only limit), drawn by a hash of the id.
 
     Rows of `held_fold`, and rows without id, text or language, teach nothing; rows of `calibration_fold` calibrate.
-    Words are counted where they lie; a task then builds each language's model from its distinct words.
+    Words are counted where they lie; a task then builds each language's model from its distinct words. All drawn texts
+    of `calibration_fold` (about a third of `most_docs` a language) are judged where they lie; four values of each
+    reach the driver.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold(id_col).alias("fold"))
     known = known.filter(F.col("lang").isNotNull() & F.col("fold").isNotNull() & (F.col("fold") != held_fold))
@@ -262,9 +271,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     models = {r["lang"]: pickle.loads(bytes(r["model"])) for r in counted.groupBy("lang").applyInPandas(build, "lang string, model binary").collect()}
     made = Identifier(models)
     if models:
-        tune = sample.filter(tuning).select("text", "lang").orderBy("id").limit(min(most_docs, 100 * len(models))).collect()
-        made.calibrate([r["text"] for r in tune], [r["lang"] for r in tune])
-        made._clear()
+        shared = docs.sparkSession.sparkContext.broadcast(made)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = shared.value.judged(*(c.to_pylist() for c in batch.columns))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.float64()))], ["lang", "evidence", "right", "low"])
+
+        judged = sample.filter(tuning).select("text", "lang").mapInArrow(judge, "lang string, evidence double, right boolean, low double")
+        made = Identifier(models)
+        made.fit(sorted(tuple(r) for r in judged.collect()))
     return made
 
 

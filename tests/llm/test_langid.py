@@ -74,3 +74,9 @@ def test_rows(spark, odd_docs, no_docs):
     empty = langid.train(no_docs)
     assert {r["lang_pred"] for r in langid.identify(odd_docs, empty).collect()} == {"und"}
     langid.identify(odd_docs, langid.train(odd_docs)).count()
+
+
+def test_every_language_is_calibrated(spark):
+    rows = [(i, f"the cat sat on mats {i % 7}", "en") for i in range(4_000)] + [(i, f"le chat est sur la table {i % 7}", "fr") for i in range(4_000, 8_000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.limits) == {"en", "fr"}
