@@ -1,14 +1,16 @@
 """A uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-How many rows of each input partition go to each cell of each shard is drawn first, from the multivariate
-hypergeometric law that a uniform random permutation has; then each partition permutes its rows locally and deals
-them out by its row of the matrix, rows are exchanged by cell, and each cell permutes what it got. Shard sizes are
-exact (at most one apart) and every arrangement is equally likely. A shard is cut into cells so that no task ever
-holds a whole shard.
+How many rows of each input partition go to each cell of each shard follows the multivariate hypergeometric law of a
+uniform random permutation. The matrix is drawn as a tree over the partitions: a node splits what its columns hold
+between its two halves, by draws of its own seed, so a task finds its own row by walking from the root to its leaf
+and nobody holds the whole matrix. Each partition permutes its rows locally and deals them out by its row, rows are
+exchanged by cell, and each cell permutes what it got. Shard sizes are exact (at most one apart) and every
+arrangement is equally likely. A shard is cut into cells so that no task ever holds a whole shard.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,10 @@ from pyspark.sql.window import Window
 
 from cohera.plans.shared import cut
 
-#: Rows aimed at in a cell, and the most entries of the matrix on the driver (4 bytes each).
-CELL_ROWS, MATRIX_ENTRIES = 50_000, 4_000_000
+#: Rows aimed at in a cell, and the most cells (a row of the matrix has one number for each).
+CELL_ROWS, MOST_CELLS = 50_000, 65_536
+#: numpy draws from populations below this size.
+NUMPY_LIMIT = 1_000_000_000
 
 
 def shard_sizes(n: int, shards: int) -> np.ndarray:
@@ -30,44 +34,80 @@ def shard_sizes(n: int, shards: int) -> np.ndarray:
     return np.full(shards, n // shards, np.int64) + (np.arange(shards) < n % shards)
 
 
-def draw_matrix(rows: np.ndarray, columns: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A random matrix with these row and column sums, as a uniform permutation would give it.
-
-    Row by row from what the columns have left; a row over the columns is drawn by halving the columns, each split
-    one hypergeometric draw.
-    """
-    left = columns.astype(np.int64).copy()
-    out = np.zeros((len(rows), len(columns)), np.int64)
-
-    def split(row: np.ndarray, n: int, lo: int, hi: int) -> None:
-        if n == 0:
-            return
-        if hi - lo == 1:
-            row[lo] = n
-            return
+def _stirling_error(n: float) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss of digits where x is near the mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v * v * v, 3
+        while True:
+            more = total + term / j
+            if more == total:
+                return total
+            total, term, j = more, term * v * v, j + 2
+    return x * math.log(x / mean) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """log of the binomial probability, by deviances (exact to rounding at any size)."""
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    errors = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x)
+    return errors - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) - 0.5 * math.log(2 * math.pi * x * (n - x) / n)
+
+
+def draw_large(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """One hypergeometric draw at any size: rejection under the hat that fits every log-concave law on the integers."""
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    p = n / total
+    log = lambda k: _log_binomial(k, good, p) + _log_binomial(n - k, bad, p)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    at_mode = log(mode)
+    peak = math.exp(at_mode - _log_binomial(n, total, p))
+    w = 1 + peak / 2
+    while True:
+        u, v, accept = rng.random(3)
+        y = v * w / peak if u <= w / (1 + w) else (w - math.log1p(-v)) / peak
+        k = mode + (1 if rng.random() < 0.5 else -1) * round(y)
+        if low <= k <= high and accept * min(1.0, math.exp(w - peak * y)) <= math.exp(log(k) - at_mode):
+            return k
+
+
+def draw_split(rng: np.random.Generator, columns: np.ndarray, n: int) -> np.ndarray:
+    """How many of `n` rows drawn from the columns fall in each column (multivariate hypergeometric)."""
+    total = int(columns.sum())
+    if total < NUMPY_LIMIT:
+        return rng.multivariate_hypergeometric(columns, n, method="marginals") if len(columns) else columns.copy()
+    if len(columns) == 1:
+        return np.array([n], np.int64)
+    half = len(columns) // 2
+    good = int(columns[:half].sum())
+    k = draw_large(rng, good, total - good, n)
+    return np.concatenate([draw_split(rng, columns[:half], k), draw_split(rng, columns[half:], n - k)])
+
+
+def matrix_row(ends: np.ndarray, columns: np.ndarray, seed: int, p: int) -> np.ndarray:
+    """Row p of the communication matrix; partition p has ends[p + 1] - ends[p] rows."""
+    lo, hi, left = 0, len(ends) - 1, columns
+    while hi - lo > 1:
         mid = (lo + hi) // 2
-        good, bad = int(left[lo:mid].sum()), int(left[mid:hi].sum())
-        k = _hypergeometric(rng, good, bad, n)
-        split(row, k, lo, mid)
-        split(row, n - k, mid, hi)
-
-    for p, n in enumerate(rows):
-        split(out[p], int(n), 0, len(columns))
-        left -= out[p]
-    return out
-
-
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's draw, in portions where the populations are beyond its limit of 10^9."""
-    most, got = 500_000_000, 0
-    if good + bad < 2 * most:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    while n:
-        # Beyond the limit one portion of draws changes the mix by less than double precision shows.
-        part = min(n, most)
-        k = min(good, max(part - bad, int(rng.binomial(part, good / (good + bad)))))
-        good, bad, n, got = good - k, bad - (part - k), n - part, got + k
-    return got
+        first = draw_split(np.random.default_rng([seed, 0, lo, hi]), left, int(ends[mid] - ends[lo]))
+        if p < mid:
+            left, hi = first, mid
+        else:
+            left, lo = left - first, mid
+    return left
 
 
 def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
@@ -76,28 +116,28 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 42) -> DataFra
     Every row counts, repeated ones too, whatever its values; nulls play no part. An empty table gives an empty one,
     and shards can be empty where there are fewer rows than shards. Columns named shard or slot are replaced. The
     rows are first written to the shared folder, so that partitions hold the same rows when a lost executor's work
-    is redone; draws depend on the seed and on these partitions alone. The driver gets one count a partition and
-    makes a matrix of at most MATRIX_ENTRIES entries.
+    is redone; draws depend on the seed and on these partitions alone. The driver gets one count a partition; tasks
+    get these and the sizes of at most MOST_CELLS cells (or one cell a shard, with more shards).
     """
     rows = df.drop("shard", "slot")
     kept = cut(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")))
     counts = {r["p"]: r["n"] for r in kept.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n, parts = sum(counts.values()), max(counts, default=-1) + 1
     sizes = shard_sizes(n, shards)
-    per_shard = int(max(1, min(-(-n // (shards * CELL_ROWS)), MATRIX_ENTRIES // max(1, parts * shards))))
+    per_shard = int(max(1, min(-(-n // (shards * CELL_ROWS)), MOST_CELLS // shards)))
     cells = np.concatenate([shard_sizes(int(s), per_shard) for s in sizes])
-    matrix = draw_matrix(np.array([counts.get(p, 0) for p in range(parts)], np.int64), cells, np.random.default_rng(seed))
+    ends = np.cumsum([0, *(counts.get(p, 0) for p in range(parts))])
     starts = np.concatenate([np.cumsum(c) - c for c in cells.reshape(shards, per_shard)])
-    shared = df.sparkSession.sparkContext.broadcast((matrix, starts))
+    shared = df.sparkSession.sparkContext.broadcast((ends, cells, starts))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_cell", "_first", "_key", "_at"))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TaskContext.get().partitionId()
-        matrix, starts = shared.value
+        ends, cells, starts = shared.value
         rng = np.random.default_rng([seed, 1, own])
-        if own >= len(matrix):
+        if own >= len(ends) - 1:
             return
-        labels = np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[own])
+        labels = np.repeat(np.arange(len(cells), dtype=np.int32), matrix_row(ends, cells, seed, own))
         rng.shuffle(labels)
         done = 0
         for batch in batches:
