@@ -2,9 +2,11 @@
 
 Only how many pieces there are of each length decides the packing, so it is worked out on that histogram (at most one
 row for each length up to the largest capacity): lengths in falling order go to the open bins with the least room
-that still fits, many bins at a step; where none fits, bins of the least-cost capacity are opened; in the end each
-bin shrinks to the smallest permitted capacity that holds its contents. Documents then take the places of their
-length in order of their rank, which is found by partition, without ever gathering a length in one task.
+that still fits, many bins at a step. Where none fits, every permitted capacity is filled on trial from the lengths
+still to come, and the one of least cost per token it would really hold is opened, as often as that filling lasts;
+in the end each bin shrinks to the smallest permitted capacity that holds its contents. This is done for several sets
+of capacities, each alone included, and the plan of least total cost is taken. Documents then take the places of
+their length in order of their rank, which is found by partition, without ever gathering a length in one task.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ def sequence_cost(capacity: int) -> float:
 class Plan:
     """Where pieces go: places by (length, rank), and the capacity of bins by number."""
 
-    def __init__(self, places: list[tuple[int, int, int, int, int]], bins: list[tuple[int, int]]):
+    def __init__(self, places: list[tuple[int, int, int, int, int]], bins: list[tuple[int, int]], cost: float = 0.0, n_bins: int = 0):
+        self.cost, self.n_bins = cost, n_bins
         places = sorted(places)
         #: length, first rank, first bin, pieces a bin, offset in the bin
         self.places = np.array(places, np.int64).reshape(-1, 5)
@@ -56,35 +59,89 @@ class Plan:
         return at, offset + (r % each) * length, self.capacity[np.searchsorted(self.first, at, side="right") - 1]
 
 
+class _Trial:
+    """The pieces still to come by length, less those that bins opened before were opened for."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.lengths = sorted(k for k, n in histogram.items() if n > 0)
+        self.left = dict(histogram)
+
+    def take(self, length: int, n: int) -> None:
+        self.left[length] -= n
+        if self.left[length] <= 0:
+            at = bisect_left(self.lengths, length)
+            if at < len(self.lengths) and self.lengths[at] == length:
+                self.lengths.pop(at)
+
+    def filling(self, length: int, n: int, capacity: int) -> tuple[dict[int, int], int]:
+        """What a bin opened for `length` would take, in falling order of lengths, and how many bins that lasts for."""
+        each = min(capacity // length, n)
+        took, room, times = {length: each}, capacity - each * length, n // each
+        at = bisect_left(self.lengths, length) - 1
+        while room and at >= 0:
+            at = min(at, bisect_left(self.lengths, room + 1) - 1)
+            if at < 0:
+                break
+            k = self.lengths[at]
+            each = min(room // k, self.left[k])
+            took[k], room, times = each, room - each * k, min(times, self.left[k] // each)
+            at -= 1
+        return took, times
+
+
 def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> Plan:
-    """Best-fit decreasing over a histogram of lengths (1 to the largest capacity)."""
-    sizes = sorted(set(capacities))
-    left_tokens = sum(k * n for k, n in histogram.items())
+    """The least costly of several packings of a histogram of lengths (1 to the largest capacity): over all capacities,
+    over the largest ones (for every number of them), and over each alone that holds the longest piece."""
+    sizes, longest = sorted(set(capacities)), max(histogram, default=0)
+    sets = {tuple(sizes[i:]) for i in range(len(sizes))} | {(c,) for c in sizes}
+    plans = [_fill(histogram, s, sizes, cost) for s in sorted(sets, key=lambda s: (-len(s), s)) if s[-1] >= longest]
+    return min(plans, key=lambda plan: plan.cost)
+
+
+def _fill(histogram: dict[int, int], opened: Sequence[int], sizes: Sequence[int], cost: Callable[[int], float], choices: int = 8) -> Plan:
+    """Best-fit decreasing with bins of the capacities `opened`, shrunk to `sizes` in the end.
+
+    For each length the capacity is chosen anew after every filling that lasts no longer, and at most about `choices`
+    times.
+    """
+    trial = _Trial(histogram)
     open_: dict[int, list[list[int]]] = {}  # room -> ranges of bins [first, count, capacity]
     rooms: list[int] = []
     places: list[tuple[int, int, int, int, int]] = []
-    full: list[tuple[int, int]] = []
+    full: list[tuple[int, int, int]] = []
     bins = 0
 
     def put(room: int, first: int, count: int, capacity: int) -> None:
         if not count:
             return
         if room == 0:
-            full.append((first, capacity))
+            full.append((first, count, capacity))
             return
         if room not in open_:
             open_[room] = []
             insort(rooms, room)
         open_[room].append([first, count, capacity])
 
+    def shrunk(held: int) -> int:
+        return sizes[bisect_left(sizes, held)]
+
     for length in sorted(histogram, reverse=True):
         n, rank = histogram[length], 0
+        least = -(-n // choices)
         while n:
             at = bisect_left(rooms, length)
             if at == len(rooms):
-                fit = [c for c in sizes if c >= length]
-                best = min(fit, key=lambda c: (cost(c) / min(c, max(left_tokens, length)), c))
-                count = -(-n // (best // length))
+                tried = []
+                for c in opened:
+                    if c >= length:
+                        took, times = trial.filling(length, n, c)
+                        held = sum(k * m for k, m in took.items())
+                        tried.append((cost(shrunk(held)) / held, c, took, times))
+                _, best, took, times = min(tried, key=lambda x: x[:2])
+                count = max(1, min(max(times, -(-least // took[length])), -(-n // took[length])))
+                for k, m in took.items():
+                    if k != length:
+                        trial.take(k, m * count)
                 put(best, bins, count, best)
                 bins += count
                 continue
@@ -100,18 +157,18 @@ def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES,
                 places.append((length, rank, first, each, offset))
                 put(room - each * length, first, whole, capacity)
                 rank, n = rank + whole * each, n - whole * each
-                left_tokens -= whole * each * length
             if whole < count and n and n < each:
                 places.append((length, rank, first + whole, each, offset))
                 put(room - n * length, first + whole, 1, capacity)
-                left_tokens -= n * length
                 rank, n, whole = rank + n, 0, whole + 1
             put(room, first + whole, count - whole, capacity)
-    shrunk = list(full)
-    for room, ranges in open_.items():
-        for first, _, capacity in ranges:
-            shrunk.append((first, next(c for c in sizes if c >= capacity - room)))
-    return Plan(places, shrunk)
+        trial.take(length, trial.left[length])
+    ends, total = [], 0.0
+    for room, ranges in [(0, full), *open_.items()]:
+        for first, count, capacity in ranges:
+            ends.append((first, shrunk(capacity - room)))
+            total += count * cost(ends[-1][1])
+    return Plan(places, ends, total, bins)
 
 
 @cache

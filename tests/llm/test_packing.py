@@ -51,7 +51,44 @@ def test_like_one_at_a_time():
                 rooms.append(50 - n)
         hist = {n: items.count(n) for n in set(items)}
         plan = packing.plan_bins(hist, (50,))
-        assert len(plan.first) >= 1 and max(p[2] for p in plan.places.tolist()) + 1 <= len(rooms) * 1.02 + 1
+        assert plan.n_bins <= len(rooms) * 1.02 + 1
+
+
+def least_cost(items, caps, cost):
+    """The cheapest packing of a few pieces, over all ways to part them."""
+    best = [0.0] + [float("inf")] * ((1 << len(items)) - 1)
+    fits = {}
+    for m in range(1, 1 << len(items)):
+        held = sum(n for i, n in enumerate(items) if m >> i & 1)
+        if held <= max(caps):
+            fits[m] = cost(min(c for c in caps if c >= held))
+    for m in range(1, 1 << len(items)):
+        part, low = m, m & -m
+        while part:
+            if part & low and part in fits:
+                best[m] = min(best[m], fits[part] + best[m ^ part])
+            part = (part - 1) & m
+    return best[-1]
+
+
+def test_capacities_are_chosen_jointly():
+    rng, caps = random.Random(9), (8, 16, 32)
+    cost = lambda c: 4 + c + c * c / 64
+    ratios = []
+    for _ in range(150):
+        items = [rng.randint(1, rng.choice((8, 16, 32))) for _ in range(rng.randint(1, 8))]
+        hist = {n: items.count(n) for n in set(items)}
+        plan = packing.plan_bins(hist, caps, cost)
+        for c in caps:
+            if c >= max(items):
+                assert plan.cost <= packing.plan_bins(hist, (c,), cost).cost + 1e-9
+        used = sum(cost(int(plan.capacity[i])) * (n - int(f)) for i, (f, n) in enumerate(zip(plan.first, [*plan.first[1:], plan.n_bins], strict=True)))
+        assert abs(used - plan.cost) < 1e-9
+        ratios.append(plan.cost / least_cost(items, caps, cost))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.4 and sum(ratios) / len(ratios) < 1.06
+    # 600-token documents: three to a bin of 2,048 rather than one to a bin of 1,024.
+    plan = packing.plan_bins({600: 3000})
+    assert set(plan.capacity.tolist()) == {2048} and plan.cost == 1000 * packing.sequence_cost(2048)
 
 
 def test_odd(spark):
