@@ -21,10 +21,12 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from cohera.llm.memory import Memory
+from cohera.plans.shared import written
 
 # Fixed values of the byte-level pre-tokenizer: its contractions.
 _CONTRACTION = r"'(?:s|t|re|ve|m|ll|d)"
@@ -227,41 +229,53 @@ def longest_within(stored: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None, budget: int = 1024, keep_prefixes: bool = True) -> DataFrame:
-    """`docs` with n_bytes (UTF-8), n_tokens, fit_chars and, unless turned off, prefix_deltas (the stored form).
+def prefix_token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """`docs` with n_bytes (UTF-8), n_tokens and prefix_deltas (the stored form).
 
-    fit_chars is the length in characters of the longest prefix of at most `budget` tokens. A null text counts as
-    empty: zeros. Bytes that aren't UTF-8 count as replacement characters. Rows stay as they are, repeated ones too;
-    columns of `docs` named like the new ones are replaced; an empty table gives an empty one. A text is one row's
-    work at any length; only pieces of up to LONGEST characters are remembered, and at most REMEMBERED of them.
+    A null text counts as empty: zeros. Bytes that aren't UTF-8 count as replacement characters. Rows stay as they
+    are, repeated ones too; columns of `docs` named like the new ones are replaced; an empty table gives an empty one.
+    A text is one row's work at any length; only pieces of up to LONGEST characters are remembered, and at most
+    REMEMBERED of them.
     """
-    kinds = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "fit_chars": T.LongType()}
-    if keep_prefixes:
-        kinds["prefix_deltas"] = T.BinaryType()
-    kept = docs.select(*[c for c in docs.columns if c not in kinds or c == text_col])
+    kinds = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "prefix_deltas": T.BinaryType()}
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in kinds or c == text_col])
     schema = T.StructType([*kept.schema.fields, *[T.StructField(c, t) for c, t in kinds.items()]])
     at, where = kept.columns.index(text_col), path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(where)
         for batch in batches:
-            n_bytes, n_tokens, fit, stored = [], [], [], []
+            n_bytes, n_tokens, stored = [], [], []
             for value in batch.column(at).cast(pa.binary()):
                 raw = value.as_py() or b""
                 deltas = count.differences(raw.decode("utf-8", "replace"))
                 n_bytes.append(len(raw))
-                n = int(np.frombuffer(deltas, "<i2").sum(dtype=np.int64))
-                n_tokens.append(n)
-                fit.append(longest_within(deltas, budget))
-                if keep_prefixes:
-                    stored.append(deltas)
-            made = [pa.array(x, pa.int64()) for x in (n_bytes, n_tokens, fit)] + ([pa.array(stored, pa.binary())] if keep_prefixes else [])
+                n_tokens.append(int(np.frombuffer(deltas, "<i2").sum(dtype=np.int64)))
+                stored.append(deltas)
+            made = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(stored, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
     return kept.mapInArrow(run, schema)
 
 
+def within_budget(counted: DataFrame, budget: int = 1024) -> DataFrame:
+    """`counted` with fit_chars in place of prefix_deltas: characters of the longest prefix of at most `budget` tokens.
+
+    Answered from the stored counts; no text is read or encoded. A null count gives null.
+    """
+    names = [c for c in counted.columns if c not in ("prefix_deltas", "fit_chars")]
+    rows = counted.select("prefix_deltas", *[F.col(f"`{c}`") for c in names])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fit_chars", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = [None if v.as_py() is None else longest_within(v.as_py(), budget) for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fit, pa.int64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counts = prefix_token_counts(docs, budget=1024, keep_prefixes=False)
-    return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit", "fit_chars")
+    stored = written(prefix_token_counts(docs).drop("text"), "prefixes")
+    return within_budget(stored).selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit", "fit_chars")

@@ -44,7 +44,7 @@ def test_budget_questions():
 
 def test_rows(odd_docs, no_docs):
     _, library = _both()
-    out = tokens.prefix_token_counts(odd_docs, budget=8).collect()
+    out = tokens.prefix_token_counts(odd_docs).collect()
     assert len(out) == odd_docs.count()
     for r in out:
         text = r["text"] or ""
@@ -53,3 +53,15 @@ def test_rows(odd_docs, no_docs):
     assert tokens.prefix_token_counts(no_docs).count() == 0
     clash = odd_docs.withColumn("n_tokens", odd_docs["text"])
     assert dict(tokens.prefix_token_counts(clash).dtypes)["n_tokens"] == "bigint"
+
+
+def test_query_answers_from_the_stored_prefixes(spark, sf_dir):
+    _, library = _both()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = tokens.op1_token_counts(spark, sf_dir).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        t = texts[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), library(t), library(t) > 1024)
+        assert r.fit_chars == len(t) if not r.over_limit else library(t[: r.fit_chars]) <= 1024 < library(t)
+    assert set(tokens.within_budget(tokens.prefix_token_counts(spark.createDataFrame([("",), (None,)], "text string"))).toPandas().fit_chars) == {0}
