@@ -1,13 +1,14 @@
 """WARC archives as a Python data source (format name `warc`), with identical payloads written once.
 
 Writing: each task writes one archive under a name of its own; the driver's commit lists the archives in a manifest,
-so what a lost or repeated attempt left is never read. Reading: partitions are runs of whole archives of about
-`splitbytes`; predicates on record_type and on header columns are taken over from Spark and tested on the parsed
-header, and payloads of records that fail them (or of all, with option payload=false) are skipped, not decoded.
+so what a lost or repeated attempt left is never read, and with each the places where members begin, every MARK_BYTES
+or so. Reading: partitions are runs of byte ranges of about `splitbytes` between these places, so a large archive is
+many tasks; predicates on record_type and on header columns are taken over from Spark and tested on the parsed header,
+and payloads of records that fail them (or of all, with option payload=false) are skipped, not decoded.
 
 Archives are written as .warc.gz, a gzip member a record. Each member's extra field `sl` holds its compressed and
 plain lengths, so that a reader can inflate a header and go on to the next member. Other .warc and .warc.gz files are
-read too.
+read too, each as a whole. A record without Content-Length, or one that ends early, is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from cohera.plans.shared import cut, salted_lookup, scratch_path
+from cohera.plans.shared import placed, salted_lookup, scratch_path, written
 
 FIELDS = "record_id string, record_type string, target_uri string, payload_digest string, payload_length bigint, refers_to string, payload binary"
 #: Column of a record and the header field that holds it.
@@ -40,13 +41,21 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "manifest.json"
 BATCH_BYTES = 16_000_000
+#: Bytes between two places in an archive from which it can be read.
+MARK_BYTES = 8_000_000
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    """A file system and a path in it; plain paths are local."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-    return pafs.LocalFileSystem(), path
+    """A file system and a path in it. A path without scheme could be on any machine's own disk and is refused."""
+    if "://" not in path and not path.startswith("file:"):
+        raise ValueError(f"give the path of an archive with its scheme: {path}")
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark resolves it by."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def header(fields: dict[str, object]) -> bytes:
@@ -69,13 +78,13 @@ def member(raw: bytes) -> bytes:
     """A gzip member with its lengths in the extra field."""
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = deflate.compress(raw) + deflate.flush()
-    size = 24 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(raw) & 0xFFFFFFFF)
+    size = 32 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHQQ", 20, b"sl", 16, size, len(raw))
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
 def _manifest(fs: pafs.FileSystem, at: str) -> list[list] | None:
-    """[name, size, records] of each archive; None where there is no manifest."""
+    """[name, size, records, places where members begin] of each archive; None where there is no manifest."""
     listed = posixpath.join(at, MANIFEST)
     if fs.get_file_info(listed).type != pafs.FileType.File:
         return None
@@ -88,6 +97,7 @@ class _Wrote(WriterCommitMessage):
     name: str
     size: int
     records: int
+    marks: list[int]
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -96,22 +106,23 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Wrote:
         fs, at = _store(self.path)
-        name, records = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name, records, marks, at_byte = f"part-{uuid.uuid4().hex}.warc.gz", 0, [0], 0
         fs.create_dir(at, recursive=True)
         with fs.open_output_stream(posixpath.join(at, name), compression=None, buffer_size=1 << 20) as out:
             for batch in iterator:
                 for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                     for row in part.to_pylist():
-                        out.write(member(record(row)))
+                        if at_byte - marks[-1] >= MARK_BYTES:
+                            marks.append(at_byte)
+                        at_byte += out.write(member(record(row)))
                         records += 1
-            size = out.tell()
-        return _Wrote(name, size, records)
+        return _Wrote(name, at_byte, records, marks)
 
     def commit(self, messages: list[_Wrote | None]) -> None:
         fs, at = _store(self.path)
         fs.create_dir(at, recursive=True)
         old = [] if self.overwrite else _manifest(fs, at) or []
-        listed = old + [[m.name, m.size, m.records] for m in messages if m]
+        listed = old + [[m.name, m.size, m.records, m.marks] for m in messages if m]
         with fs.open_output_stream(posixpath.join(at, MANIFEST)) as out:
             out.write(json.dumps(listed).encode())
 
@@ -123,8 +134,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 @dataclass
-class _Files(InputPartition):
-    names: list[str]
+class _Ranges(InputPartition):
+    parts: list[tuple[str, int, int | None]]
 
 
 class WarcReader(DataSourceReader):
@@ -142,32 +153,35 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_Files]:
-        """Archives, largest first, in runs of about split_bytes."""
+    def partitions(self) -> list[_Ranges]:
+        """Byte ranges of archives in runs of about split_bytes; an archive that says no places is one range (end None)."""
         fs, at = _store(self.path)
         listed = _manifest(fs, at)
         if listed is not None:
-            files = [(n, size) for n, size, _ in listed]
+            ranges = [(n, a, b) for n, size, _, marks in listed for a, b in zip(marks, [*marks[1:], size], strict=True) if b > a]
+            sized = [(r, r[2] - r[1]) for r in ranges]
         else:
             found = fs.get_file_info(pafs.FileSelector(at)) if fs.get_file_info(at).type == pafs.FileType.Directory else [fs.get_file_info(at)]
             files = [(i.base_name, i.size) for i in found if i.type == pafs.FileType.File and i.base_name.endswith((".warc", ".warc.gz"))]
+            sized = [((n, 0, None), size) for n, size in sorted(files, key=lambda x: (-x[1], x[0]))]
             if fs.get_file_info(at).type == pafs.FileType.File:
                 self.path = posixpath.dirname(self.path)
-        out, size = [[]], 0
-        for name, length in sorted(files, key=lambda x: (-x[1], x[0])):
-            if out[-1] and size + length > self.split_bytes:
+        out, held = [[]], 0
+        for part, length in sized:
+            if out[-1] and held + length > self.split_bytes:
                 out.append([])
-                size = 0
-            out[-1].append(name)
-            size += length
-        return [_Files(names) for names in out]
+                held = 0
+            out[-1].append(part)
+            held += length
+        return [_Ranges(parts) for parts in out]
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         fs, at = _store(self.path)
         rows, size = [], 0
-        for name in partition.names:
+        for name, start, end in partition.parts:
             with fs.open_input_file(posixpath.join(at, name)) as f:
-                for row in records_of(f, name.endswith(".gz"), self.tests, self.payload):
+                whole = end is None
+                for row in records_of(f, name.endswith(".gz"), self.tests, self.payload) if whole else read_members(f, self.tests, self.payload, start, end):
                     rows.append(row)
                     size += len(row[-1] or b"") + 500
                     if size >= BATCH_BYTES:
@@ -189,30 +203,30 @@ def records_of(f, gz: bool, tests: dict[str, set], payload: bool) -> Iterator[tu
     """Records of an open archive of any of the three layouts."""
     if not gz:
         return read_records(f, tests, payload, seekable=True)
-    if _member_size(f.read(24)):
-        return read_members(f, tests, payload)
+    if _member_size(f.read(32)):
+        return read_members(f, tests, payload, 0, f.size())
     f.seek(0)
     return read_records(gzip.GzipFile(fileobj=f), tests, payload, seekable=False)
 
 
 def _member_size(head: bytes) -> int:
     """The length of a gzip member that begins so; 0 if it doesn't say."""
-    if len(head) < 24 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"sl\x08\0":
+    if len(head) < 32 or head[:4] != b"\x1f\x8b\x08\x04" or head[12:16] != b"sl\x10\0":
         return 0
-    return struct.unpack("<I", head[16:20])[0]
+    return struct.unpack("<Q", head[16:24])[0]
 
 
-def read_members(f, tests: dict[str, set], payload: bool, peek: int = 4096) -> Iterator[tuple]:
-    """Records of an archive whose members say their lengths: only wanted blocks are read and inflated in full."""
-    at, end = 0, f.size()
+def read_members(f, tests: dict[str, set], payload: bool, at: int, end: int, peek: int = 4096) -> Iterator[tuple]:
+    """Records from byte `at` up to `end` of an archive whose members say their lengths: only wanted blocks are read
+    and inflated in full."""
     while at < end:
         f.seek(at)
         data = f.read(min(peek, end - at))
-        size = _member_size(data[:24])
+        size = _member_size(data[:32])
         if not size or at + size > end:
             raise ValueError("a WARC member ends early")
         inflate = zlib.decompressobj(-15)
-        raw, fed = inflate.decompress(data[24 : size - 8], peek), min(len(data), size)
+        raw, fed = inflate.decompress(data[32 : size - 8], peek), min(len(data), size)
         while raw.find(b"\r\n\r\n") < 0:
             more = inflate.unconsumed_tail
             if not more:
@@ -240,6 +254,8 @@ def parse_header(raw: bytes) -> tuple[dict, int]:
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:60]!r}")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if "content-length" not in fields:
+        raise ValueError("a WARC record has no Content-Length")
     length = int(fields["content-length"])
     row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
     if row["payload_digest"] and row["payload_digest"].startswith("sha256:"):
@@ -319,30 +335,32 @@ def write_warc(rows: DataFrame, path: str) -> None:
     """Write rows with the columns of FIELDS as archives under `path`."""
     register(rows.sparkSession)
     kinds = [f.split(" ") for f in FIELDS.split(", ")]
-    rows.select(*[F.col(c).cast(t).alias(c) for c, t in kinds]).write.format("warc").mode("append").save(path)
+    rows.select(*[F.col(c).cast(t).alias(c) for c, t in kinds]).write.format("warc").mode("append").save(qualified(rows.sparkSession, path))
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def deduplicated_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """Records (FIELDS) of pages: of equal payloads of at least `least_bytes` bytes one is response, others revisit it.
 
-    The response is the one with the smallest id (null ids last; of rows with one id, the first read). A null page
-    has an empty payload. Every row is a record, repeated rows too. Other columns are ignored. Groups of copies meet
-    as partial minima of narrow rows; the lookup is salted, so that no group is one task's work.
+    The response is the one with the smallest id (null ids last; of rows with one id, the first by place). A null page
+    has an empty payload. Every row is a record, repeated rows too. Other columns are ignored. Verdicts are reached on
+    narrow rows (place, id, digest), and only the places of revisits come back to the payloads. Groups of copies meet
+    as partial minima; the lookup is salted, so that no group is one task's work.
     """
-    payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("target_uri"), payload.alias("payload"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("payload_digest", F.sha2("payload", 256))
-    who = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    firsts = rows.filter(F.length("payload") >= least_bytes).groupBy("payload_digest").agg(F.min(who).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts.filter("n > 1").select("payload_digest", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")))
-    out = salted_lookup(rows, firsts, "payload_digest", "row")
+    payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
+    rows = placed(pages).select("_at", F.col(f"`{id_col}`").alias("id"), F.col(f"`{uri_col}`").cast("string").alias("target_uri"), payload.alias("payload"))
+    narrow = rows.filter(F.length("payload") >= least_bytes).select(F.struct(F.col("id").isNull().alias("none"), "id", "_at").alias("who"), F.sha2("payload", 256).alias("digest"), F.xxhash64("_at").alias("spread"))
+    narrow = written(narrow, "digests")
+    firsts = written(narrow.groupBy("digest").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "firsts")
+    copies = salted_lookup(narrow, firsts, "digest", "spread", how="inner").filter("who._at <> first._at")
+    copies = written(copies.select(F.col("who._at").alias("_at"), F.lit(True).alias("again"), F.col("first.id").alias("first_id")), "copies")
+    out = rows.join(copies, "_at", "left").withColumn("payload_digest", F.sha2("payload", 256))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
-    again = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
+    again = F.coalesce("again", F.lit(False))
     return out.select(
         urn("id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest",
         F.length("payload").cast("long").alias("payload_length"), F.when(again, urn("first_id")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"),
@@ -350,17 +368,15 @@ def deduplicated_records(pages: DataFrame, id_col: str = "page_id", uri_col: str
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, revisits by their headers alone; either predicate is tested by the reader."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch_path(spark, "warc")
     write_warc(deduplicated_records(pages), path)
-    back = read_warc(spark, path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
-    stored = F.col("record_type") == "response"
-    return back.select(
-        number("record_id").alias("page_id"),
-        F.when(stored, F.length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", number("refers_to").alias("refers_to"),
+    stored = read_warc(spark, path).filter("record_type = 'response'").withColumns({"payload_length": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    revisits = read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
+    return stored.unionByName(revisits).select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"),
     )
 
 
