@@ -137,6 +137,8 @@ class Identifier:
     def __init__(self, models: dict[str, KneserNey], curve: tuple[float, float] = (0.0, 1.0), limits: dict[str, float] | None = None):
         self.langs, self.models = sorted(models), models
         self.curve, self.limits = curve, limits or {}
+        #: The limit of a language that no calibration row was recognised in.
+        self.loosest = max(self.limits.values(), default=np.inf)
         self._clear()
 
     def __getstate__(self):
@@ -197,7 +199,7 @@ class Identifier:
             a, b = self.curve
             score = float(1 / (1 + np.exp(-(a + b * self.evidence(entropy, length)))))
             low = float(entropy[best])
-            out.append((self.langs[best], score, low, low > self.limits.get(self.langs[best], np.inf)))
+            out.append((self.langs[best], score, low, low > self.limits.get(self.langs[best], self.loosest)))
         return out
 
     def calibrate(self, texts: list[str], langs: list[str], quantile: float = 0.999) -> None:
@@ -228,6 +230,7 @@ class Identifier:
             ab = ab - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
         self.curve = (float(ab[0]), float(max(ab[1], 0.0)))
         self.limits = {k: float(np.quantile(v, quantile)) * 1.1 for k, v in lows.items()}
+        self.loosest = max(self.limits.values(), default=np.inf)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 1_500, held_fold: int = 2, calibration_fold: int = 3) -> Identifier:

@@ -3,7 +3,8 @@
 The network predicts each token from the two on either side: their embeddings (one table a place) are added and
 squashed, and a two-step softmax gives the token's class and the token within its class. The vocabulary is counted
 over all documents. Training begins with a bounded sample in one task, which gives all a common start; then every
-partition goes over all of its documents once, and the partitions' parameters are averaged by tokens seen. Words
+partition goes over all of its documents once, and the partitions' parameters are averaged by tokens seen. The model
+thus depends on how the documents are split into partitions, as it does in any parallel training of this kind. Words
 without a number of their own share a bucket, and each has its share of the bucket's tokens over the whole corpus. A
 document's score is the sum of log p(token | both sides) over its tokens.
 """
@@ -30,6 +31,10 @@ KNOWN, BUCKETS = 4_096, 256
 CLASSES = 64
 #: Distinct words up to which KNOWN and CLASSES hold; beyond, classes grow with the eighth root of their number.
 DISTINCT = 400_000
+#: Words next in frequency whose counts every worker holds; the counts of all others are joined.
+HELD = 300_000
+#: Bytes of text that are encoded together (a longer text is taken by itself).
+SLICE_BYTES = 2_000_000
 WIDTH, SIDE = 16, 2
 BATCH = 16_384
 RATE = 0.11
@@ -63,8 +68,9 @@ class _Numbers(dict):
 class Vocabulary:
     """Word numbers: by falling frequency, then the buckets, then the mark outside documents."""
 
-    def __init__(self, ordered: list[bytes], known: int = KNOWN, in_buckets: np.ndarray | None = None):
-        """`in_buckets`: tokens of each bucket over all documents."""
+    def __init__(self, ordered: list[bytes], known: int = KNOWN, in_buckets: np.ndarray | None = None, held: tuple[np.ndarray, np.ndarray] | None = None):
+        """`in_buckets`: tokens of each bucket over all documents; `held`: hashes (ascending) and log counts of rare words."""
+        self.held = held or (np.empty(0, np.int64), np.empty(0))
         self.known, self.number = known, _Numbers(ordered, known)
         self.outside = known + BUCKETS
         #: By number: log of what a word's count is divided by; one token of a bucket is kept for words never seen.
@@ -77,6 +83,15 @@ class Vocabulary:
         own, at = words(text), np.flatnonzero(ids >= self.known).tolist()
         return np.fromiter((xxhash.xxh64_intdigest(own[i], 42) for i in at), np.uint64, len(at)).view(np.int64)
 
+    def shares(self, hashes: np.ndarray) -> tuple[float, np.ndarray]:
+        """Summed log counts of the words held, and the hashes of those that aren't."""
+        keys, logs = self.held
+        if not len(keys):
+            return 0.0, hashes
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        here = keys[at] == hashes
+        return float(logs[at[here]].sum()), hashes[~here]
+
     def encode(self, text: bytes | None) -> np.ndarray:
         own = words(text)
         return np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
@@ -209,6 +224,20 @@ class Network:
             return cls({k: f[k] for k in cls.NAMES})
 
 
+def slices(column: pa.Array) -> Iterator[list[bytes | None]]:
+    """The texts in runs of about SLICE_BYTES."""
+    held, size = [], 0
+    for value in column:
+        text = value.as_py()
+        if held and size + len(text or b"") > SLICE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or b"") + 64
+    if held:
+        yield held
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, n) over all documents; counted where they lie, then summed."""
 
@@ -228,12 +257,13 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2_000, most_models: int = 4_096) -> tuple[Vocabulary, Network, DataFrame]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2_000) -> tuple[Vocabulary, Network, DataFrame]:
     """Vocabulary and network of all documents, and the counts of words that share a bucket (h, log_n; without those
-    that occur once, whose log is 0). Only the common start is fitted on a sample (about `sample_docs`).
+    that occur once, whose log is 0, and those that the vocabulary holds). Only the common start is fitted on a sample
+    (about `sample_docs`).
 
     Parameters are a few MB whatever the corpus; each partition sends its own through the shuffle, cut in blocks that
-    are averaged in as many tasks. Beyond `most_models` partitions, neighbouring ones train one model.
+    are averaged in as many tasks: first over runs of 256 partitions, then over the runs, always in order.
     """
     spark = docs.sparkSession
     counted = written(count_words(docs, text_col), "words")
@@ -248,8 +278,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     others = counted.filter(beyond)
     for r in others.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
         counts[known + r["b"]] = r["n"]
-    vocabulary = Vocabulary([bytes(r["word"]) for r in top], known, counts[known:])
-    shares = others.filter("n > 1").select(F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("log_n"))
+    log_n = others.filter("n > 1").select(F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("log_n"), "n", "word")
+    held = log_n.orderBy(F.desc("n"), "word").limit(HELD).select("h", "log_n", "n", "word")
+    edge = held.agg(F.count(F.lit(1)), F.max_by(F.struct("n", "word"), F.struct(-F.col("n"), "word"))).first()
+    held = held.select("h", "log_n").toPandas().sort_values("h")
+    beyond = F.lit(False)
+    if edge[0] == HELD:
+        beyond = (F.col("n") < edge[1]["n"]) | ((F.col("n") == edge[1]["n"]) & (F.col("word") > F.lit(bytes(edge[1]["word"]))))
+    shares = log_n.filter(beyond).select("h", "log_n")
+    vocabulary = Vocabulary([bytes(r["word"]) for r in top], known, counts[known:], (held.h.to_numpy(np.int64), held.log_n.to_numpy(float)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n_docs = rows.count()
     share = int(1_000_003 * min(1.0, sample_docs / max(n_docs, 1)))
@@ -260,33 +297,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _locally(batches, *shared.value, passes=2)
 
-    start = [bytes(r["params"]) for r in sample.coalesce(1).mapInArrow(first, _MODEL).collect()]
+    start = [bytes(r["params"]) for r in sample.repartition(1).mapInArrow(first, _MODEL).collect()]
     common = spark.sparkContext.broadcast((vocabulary, start[0] if start else begin))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _locally(batches, *common.value, passes=1)
 
-    every = rows.select("text")
-    if every.rdd.getNumPartitions() > most_models:
-        every = every.coalesce(most_models)
-    models = every.mapInArrow(own, _MODEL).filter("n > 0")
+    models = rows.select("text").mapInArrow(own, _MODEL).filter("n > 0").withColumn("part", F.spark_partition_id())
     network = Network.unpack(common.value[1])
     flat, shapes = _flatten(network)
     block = 8_192
-    blocks = models.mapInArrow(_cut_blocks(block), "block int, n bigint, part binary")
+    blocks = models.mapInArrow(_cut_blocks(block), _BLOCKS)
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
         total, summed = float(pdf.n.sum()), 0.0
-        for n, part in zip(pdf.n, pdf.part, strict=True):
-            summed = summed + np.frombuffer(part, np.float32).astype(np.float64) * (n / total)
-        return pd.DataFrame({"block": [pdf.block.iloc[0]], "part": [summed.astype(np.float32).tobytes()]})
+        for n, weights in zip(pdf.n, pdf.weights, strict=True):
+            summed = summed + np.frombuffer(weights, np.float32).astype(np.float64) * (n / total)
+        return pd.DataFrame({"block": pdf.block.iloc[:1], "part": pdf.part.iloc[:1] // 256, "n": [int(total)], "weights": [summed.astype(np.float32).tobytes()]})
 
-    for r in blocks.groupBy("block").applyInPandas(average, "block int, part binary").collect():
-        flat[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["part"], np.float32)
+    runs = blocks.groupBy("block", F.expr("part DIV 256")).applyInPandas(average, _BLOCKS)
+    for r in runs.groupBy("block").applyInPandas(average, _BLOCKS).collect():
+        flat[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["weights"], np.float32)
     return vocabulary, _shaped(flat, shapes), shares
 
 
 _MODEL = "n bigint, params binary"
+_BLOCKS = "block int, part int, n bigint, weights binary"
 
 
 def _flatten(network: Network) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -305,10 +342,11 @@ def _shaped(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> Network:
 def _cut_blocks(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, raw, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 flat, _ = _flatten(Network.unpack(raw))
-                parts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "part"])
+                cuts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
+                cols = [pa.array(range(len(cuts)), pa.int32()), pa.array([part] * len(cuts), pa.int32()), pa.array([n] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "part", "n", "weights"])
 
     return run
 
@@ -318,9 +356,8 @@ def _locally(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, raw: byt
     network, seen = Network.unpack(raw), 0
     memory = network.memory()
     for batch in batches:
-        texts = batch.column(0).cast(pa.binary())
-        for lo in range(0, len(texts), 500):
-            ids, place, _ = vocabulary.flat(texts[lo : lo + 500].to_pylist())
+        for texts in slices(batch.column(0).cast(pa.binary())):
+            ids, place, _ = vocabulary.flat(texts)
             for k in range(passes):
                 network.train(ids, np.random.default_rng(k).permutation(place), memory)
             seen += len(place)
@@ -346,14 +383,14 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network, DataFrame], text_co
         vocabulary, network = shared.value[0], Network.unpack(shared.value[1])
         for batch in batches:
             column, counts, sums, rare = batch.column(1).cast(pa.binary()), [], [], []
-            for lo in range(0, len(column), 500):
-                texts = column[lo : lo + 500].to_pylist()
+            for texts in slices(column):
                 ids, place, doc = vocabulary.flat(texts)
                 lp = network.log_probs(ids, place) - vocabulary.log_total[ids[place]]
                 counts.append(np.bincount(doc, minlength=len(texts)))
-                sums.append(np.bincount(doc, lp, len(texts)))
                 ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-                rare += [vocabulary.rare(t, ids[place[a:b]]) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
+                found = [vocabulary.shares(vocabulary.rare(t, ids[place[a:b]])) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
+                sums.append(np.bincount(doc, lp, len(texts)) + [f[0] for f in found])
+                rare += [f[1] for f in found]
             n, s = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((counts, np.int64), (sums, np.float64)))
             at = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *rare])))

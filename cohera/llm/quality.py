@@ -1,8 +1,8 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Each document is judged by its own words; failures are added up by host (the column `source`), each host's failure
-rate is shrunk towards the corpus by a beta prior estimated from all hosts (method of moments), and a host whose
-shrunk rate passes a limit loses all its documents.
+Each document is judged by its own words, rule by rule; the failures of each rule are added up by host (the column
+`source`), each host's failure rate is shrunk towards the corpus's by a beta prior that is estimated for the rule from
+all hosts (method of moments), and a host whose shrunk rate passes a limit in any rule loses all its documents.
 """
 
 from __future__ import annotations
@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohera.plans.shared import cut, salted_lookup, written
+from cohera.plans.shared import cut, placed, salted_lookup, written
 
 SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\f\r"
 #: Largest and smallest strength (in documents) that the prior may have.
 STRENGTH = (1.0, 10_000.0)
+#: What a document of a host fails by: the base rules together, over a symbol to ten words, over 30 % repeated lines.
+RULES = {
+    "base": "base_failed",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
+}
 
 
 def _let(value: Column, body) -> Column:
@@ -45,12 +51,12 @@ def _repeat_words(words: Column) -> Column:
 
 
 def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """`docs` without the text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed.
 
     Words are runs of characters other than space and \\t \\n \\v \\f \\r; a null text has none. Whole texts.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    kept = [c for c in docs.columns if c not in {text_col, *made}]
+    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
+    kept = [f"`{c}`" for c in docs.columns if c not in {text_col, *made}]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     body = F.trim(text, F.lit(SPACES))
     split = docs.select(*kept, text.alias("_t"), F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"[{SPACE}]+")).alias("_w"))
@@ -59,34 +65,38 @@ def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = split.select(
         *kept, n.alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_l"),
         _repeat_words(F.col("_w")).alias("n_repeat_words"),
-    )
+    ).withColumns({"n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.dup")}).drop("_l")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def host_verdicts(judged: DataFrame, host_col: str = "source", limit: float = 0.5) -> DataFrame:
-    """Per host (a null host is none): n_docs, n_failed, shrunk_rate and host_rejected (shrunk_rate > limit).
+def host_verdicts(judged: DataFrame, host_col: str = "source", limit: float = 0.5, rules: dict[str, str] | None = None) -> DataFrame:
+    """Per host (a null host is none) and rule: n_docs, n_failed, shrunk_rate, and host_rejected (shrunk_rate > limit).
 
-    Prior: mean m is the corpus's failure rate; the variance between hosts is the weighted variance of their rates
-    less what binomial noise explains; the strength s = m (1 - m) / variance - 1 is held within STRENGTH. A host's
-    rate is (failed + m s) / (docs + s). One row a host, summed map-side; of the prior one row reaches the driver.
+    Prior of a rule: mean m is the corpus's failure rate; the variance between hosts is the weighted variance of their
+    rates less what binomial noise explains; the strength s = m (1 - m) / variance - 1 is held within STRENGTH. A
+    host's rate is (failed + m s) / (docs + s). One row a host, summed map-side; of the priors one row a rule is
+    joined back.
     """
-    hosts = judged.filter(F.col(host_col).isNotNull()).groupBy(host_col)
-    hosts = hosts.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(
-        F.sum("n_docs").cast("double").alias("n"), F.sum("n_failed").cast("double").alias("f"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("n_failed") * rate).alias("fr"),
-    ).first()
-    m, s = 0.0, STRENGTH[1]
-    if prior["n"]:
-        m = prior["f"] / prior["n"]
-        between = prior["fr"] / prior["n"] - m * m - m * (1 - m) * prior["k"] / prior["n"]
-        if between > 0:
-            s = min(max(m * (1 - m) / between - 1, STRENGTH[0]), STRENGTH[1])
-    shrunk = (F.col("n_failed") + m * s) / (F.col("n_docs") + s)
-    return hosts.select(host_col, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > limit).alias("host_rejected"))
+    rules = rules or RULES
+    failed = [F.coalesce(F.sum(F.expr(test).cast("long")), F.lit(0)).alias(f"_f{k}") for k, test in enumerate(rules.values())]
+    hosts = judged.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("n_docs"), *failed)
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"_f{k}").alias("n_failed")) for k, rule in enumerate(rules)])
+    by_rule = cut(hosts.select("_host", "n_docs", F.inline(each)))
+    n, rate = F.sum("n_docs").cast("double"), F.col("n_failed") / F.col("n_docs")
+    sums = by_rule.groupBy("rule").agg((F.sum("n_failed") / n).alias("m"), (F.count(F.lit(1)) / n).alias("q"), (F.sum(F.col("n_failed") * rate) / n).alias("e"))
+    m = F.col("m")
+    between = sums.select("rule", "m", (F.col("e") - m * m - m * (1 - m) * F.col("q")).alias("v"))
+    strength = F.when(F.col("v") > 0, F.least(F.greatest(m * (1 - m) / F.col("v") - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))).otherwise(STRENGTH[1])
+    shrunk = (F.col("n_failed") + m * F.col("s")) / (F.col("n_docs") + F.col("s"))
+    out = by_rule.join(between.select("rule", "m", strength.alias("s")), "rule").withColumn("shrunk_rate", shrunk)
+    return out.select(F.col("_host").alias(host_col), "rule", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > limit).alias("host_rejected"))
+
+
+def _rejected(judged: DataFrame, host_col: str, limit: float) -> DataFrame:
+    """The rejected hosts (_host), each once."""
+    return host_verdicts(judged, host_col, limit).filter("host_rejected").select(F.col(host_col).alias("_host"), "host_rejected").distinct()
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
@@ -96,24 +106,27 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     An empty table gives an empty one. The features are worked out once and cut off as narrow rows; the host table is
     joined back salted, so a host with a third of all documents is dealt over many tasks.
     """
-    judged = cut(text_features(docs.select(F.col(id_col), F.col(text_col), F.col(host_col)), text_col))
-    hosts = cut(host_verdicts(judged, host_col, limit).filter("host_rejected").select(host_col, "host_rejected"))
-    out = salted_lookup(judged, hosts, host_col, id_col)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("host_rejected")
+    own = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host")).alias("_own"), F.col(f"`{text_col}`").alias("_text"))
+    judged = cut(text_features(own, "_text").withColumn("_host", F.col("_own.host")))
+    out = salted_lookup(judged, cut(_rejected(judged, "_host", limit)), "_host", "_own")
+    names = [c for c in judged.columns if c not in ("_own", "_host")]
+    kept = ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))
+    keys = [F.col(f"_own.{k}").alias(c) for k, c in (("id", id_col), ("host", host_col)) if c not in (*names, "kept")]
+    return out.select(*keys, *names, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
     """The rows of `docs` that `judge` would keep, with all their columns. Hosts are judged over all of `docs`.
 
-    `docs` is a stored table: rows are told apart by their place in it. Texts are read for the features once and not
-    shuffled for the hosts' sake: verdicts are joined to narrow rows, and only the places of lost rows come back.
+    Rows are told apart by place. Texts are read for the features once and not shuffled for the hosts' sake: verdicts
+    are joined to narrow rows, and only the places of lost rows come back.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    text, host = F.col("_row").getField(text_col).alias("_text"), F.col("_row").getField(host_col).alias("_host")
-    narrow = written(text_features(rows.select("_at", text, host), "_text").select("_at", "_host", "base_failed"), "judged")
-    hosts = written(host_verdicts(narrow, "_host", limit).filter("host_rejected").select("_host", "host_rejected"), "hosts")
+    rows = placed(docs)
+    narrow = text_features(rows.select("_at", F.col(f"`{text_col}`").alias("_text"), F.col(f"`{host_col}`").alias("_host")), "_text")
+    narrow = written(narrow.select("_at", "_host", "n_words", "n_symbols", "n_lines", "n_dup_lines", "base_failed"), "judged")
+    hosts = written(_rejected(narrow, "_host", limit), "hosts")
     lost = salted_lookup(narrow, hosts, "_host", "_at").filter(F.col("base_failed") | F.coalesce("host_rejected", F.lit(False)))
-    return rows.join(written(lost.select("_at"), "lost"), "_at", "left_anti").select("_row.*")
+    return rows.join(written(lost.select("_at"), "lost"), "_at", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -134,14 +147,17 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (
 f AS (
   SELECT d.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) d LEFT JOIN rep USING (r)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS k FROM j WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(k) / sum(n) AS m, count(*) / sum(n) AS q, sum(k * k / n) / sum(n) AS e FROM h),
-v AS (SELECT m, greatest(e - m * m - m * (1 - m) * q, 0) AS v FROM p),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS s FROM v),
-bad AS (SELECT source FROM h, s WHERE (k + m * s) / (n + s) > 0.5)
+x AS (
+  SELECT source, 'base' AS rule, base_failed AS failed FROM j UNION ALL SELECT source, 'symbols', 10 * n_symbols > n_words FROM j
+  UNION ALL SELECT source, 'lines', 100 * n_dup_lines > 30 * n_lines FROM j),
+h AS (SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INT)) AS DOUBLE) AS k FROM x WHERE source IS NOT NULL GROUP BY ALL),
+p AS (SELECT rule, sum(k) / sum(n) AS m, count(*) / sum(n) AS q, sum(k * k / n) / sum(n) AS e FROM h GROUP BY rule),
+v AS (SELECT rule, m, greatest(e - m * m - m * (1 - m) * q, 0) AS v FROM p),
+s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS s FROM v),
+bad AS (SELECT source FROM h JOIN s USING (rule) WHERE (k + m * s) / (n + s) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
 FROM j

@@ -3,8 +3,8 @@ import numpy as np
 from cohera.llm import langid
 
 
-def naive(words, counts, order, discount, word):
-    """Interpolated Kneser-Ney by dictionaries."""
+def conditional(words, counts, order, discount):
+    """p(character | context) of interpolated Kneser-Ney, by dictionaries."""
     from collections import defaultdict
 
     grams = [defaultdict(float) for _ in range(order + 1)]
@@ -30,6 +30,11 @@ def naive(words, counts, order, discount, word):
         total = sum(own.values())
         return max(own.get(ctx + c, 0) - discount, 0) / total + discount * len(own) / total * p(ctx[1:], c, n - 1)
 
+    return p
+
+
+def naive(words, counts, order, discount, word):
+    p = conditional(words, counts, order, discount)
     w = f"\x02{word}\x03"
     return sum(np.log(p(w[max(0, e - order + 1) : e], w[e], min(order, e + 1))) for e in range(1, len(w)))
 
@@ -43,17 +48,14 @@ def test_model_is_interpolated_kneser_ney():
 
 
 def test_probabilities_sum_to_one():
-    words = ["aba", "abc", "ca"]
-    model = langid.KneserNey(words, np.array([2, 1, 1]), order=3)
-    for ctx in ("a", "ab", "c"):
-        total = 0.0
-        for c in ["a", "b", "c", "\x03", "z"]:
-            w = ctx + c if c != "\x03" else ctx
-            whole = naive(words, [2, 1, 1], 3, 0.75, w)
-            prefix = model.score(langid._grams([w], 3), 1)[0]
-            assert abs(whole - prefix) < 1e-4
-            total += 1
-        assert total == 5
+    """Over the characters seen and one that wasn't, in contexts that were seen and one that wasn't."""
+    words, counts = ["aba", "abc", "ca"], np.array([2, 1, 1])
+    p = conditional(words, counts, 3, 0.75)
+    for ctx in ("", "a", "ab", "\x02a", "c", "zz"):
+        assert abs(sum(p(ctx, c, len(ctx) + 1) for c in ["a", "b", "c", "\x03", "z"]) - 1) < 1e-9, ctx
+    model = langid.KneserNey(words, counts, order=3)
+    for word in ("ab", "cab", "za"):
+        assert abs(model.score(langid._grams([word], 3), 1)[0] - naive(words, counts, 3, 0.75, word)) < 1e-4
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -80,3 +82,8 @@ def test_every_language_is_calibrated(spark):
     rows = [(i, f"the cat sat on mats {i % 7}", "en") for i in range(4_000)] + [(i, f"le chat est sur la table {i % 7}", "fr") for i in range(4_000, 8_000)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(model.limits) == {"en", "fr"}
+    rare = [r for r in rows if r[0] < 4_040]
+    model = langid.train(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    assert set(model.limits) == {"en", "fr"}  # 40 rows of one language, 4,000 of the other
+    docs = spark.createDataFrame([("zzxq wvvz qqkk xxjz",)], "text string")
+    assert langid.identify(docs, langid.Identifier(model.models, model.curve, {"en": 2.0})).first()["rejected"]

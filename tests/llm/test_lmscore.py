@@ -84,3 +84,40 @@ def test_model_grows_with_the_corpus():
         ids[3] = w
         probs.append(float(np.exp(net.log_probs(ids, np.array([3]))[0])))
     assert abs(sum(probs) - 1) < 1e-3
+
+
+def test_document_score_worked_out_plainly(spark, monkeypatch):
+    """Per token: class and word of the two-step softmax by plain loops, and a rare word's share of its bucket."""
+    monkeypatch.setattr(lmscore, "HELD", 2)
+    rng = np.random.default_rng(4)
+    vocab = [f"c{i}" for i in range(lmscore.KNOWN)]
+    rare = [f"r{i}" for i in range(12)]
+    rows = [(0, " ".join(vocab * 3))] + [(i, " ".join([*rng.choice(vocab[:50], 30), *rng.choice(rare, 3 + i % 4)])) for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary, net, shares = model = lmscore.train(docs)
+    assert len(vocabulary.held[0]) == 2 and shares.count() > 0
+    got = {r.doc_id: r.log_likelihood for r in lmscore.score(docs, model).collect()}
+    counts = {}
+    for _, text in rows:
+        for w in text.split():
+            counts[w] = counts.get(w, 0) + 1
+    in_bucket = {}
+    for w, n in counts.items():
+        number = vocabulary.number[w.encode()]
+        if number >= vocabulary.known:
+            in_bucket[number] = in_bucket.get(number, 0) + n
+    for i, text in rows[1:6]:
+        words = text.split()
+        ids = [vocabulary.outside] * 2 + [vocabulary.number[w.encode()] for w in words] + [vocabulary.outside] * 2
+        total = 0.0
+        for k, w in enumerate(words):
+            x = net.p["bias"].astype(float)
+            for j, off in enumerate((-2, -1, 1, 2)):
+                x = x + net.p["emb"][j][ids[k + 2 + off]]
+            h, t = np.tanh(x), ids[k + 2]
+            c, m = divmod(t, net.per_class)
+            for z, pick in ((h @ net.p["cls"] + net.p["cls_bias"], c), (h @ net.p["out"][c] + net.p["out_bias"][c], m)):
+                total += z[pick] - np.log(np.exp(z).sum())
+            if t >= vocabulary.known:
+                total += np.log(counts[w] / (in_bucket[t] + 1))
+        assert abs(got[i] - total) < 1e-2

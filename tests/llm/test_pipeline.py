@@ -3,7 +3,8 @@ from cohera.llm import decontam, quality, simhash, toxicity
 
 
 def slow_components(fps):
-    """Smallest id reachable by steps of at most 3 bits, by comparing all pairs of distinct fingerprints."""
+    """Smallest id reachable by links, by comparing all pairs of distinct (two-word, wide five-word) fingerprints."""
+    most = simhash.wide_budget(0.78)
     distinct = sorted(set(fps.values()))
     root = {f: f for f in distinct}
 
@@ -14,7 +15,7 @@ def slow_components(fps):
 
     for k, a in enumerate(distinct):
         for b in distinct[k + 1 :]:
-            if (a ^ b).bit_count() <= 3:
+            if (a[0] ^ b[0]).bit_count() <= 8 and (a[1] ^ b[1]).bit_count() <= most:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     least = {}
@@ -40,7 +41,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         elif name == "quality rules":
             assert set(after) == {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
         elif name.startswith("SimHash"):
-            fps = {i: simhash.fingerprint((r.text or "").encode()) % (1 << 64) for i, r in before.items()}
+            texts = {i: (r.text or "").encode() for i, r in before.items()}
+            fps = {i: (simhash.fingerprint(t, 2) % (1 << 64), int.from_bytes(simhash.wide_fingerprint(t, 5), "big")) for i, t in texts.items()}
             assert set(after) == set(slow_components(fps).values())
         elif name.startswith("benchmark"):
             grams = {}
