@@ -1,13 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index of the training corpus.
 
 The index is a stored table of postings (term, block, n, data): for each term and each block of whole documents the
-delta-coded positions of the term in the block. It is range-partitioned and sorted by (term, block), so a term's
-postings lie together, and those of a hot term are split by ranges of documents. A block's documents (place, first
-position, words) are its row for the empty term.
-
-A search never holds the benchmark in one place. The windows of the items are rows; their terms are ranked by how often
-the whole corpus has them; a window is looked up by its rarest term and kept for the blocks that have its next rarest
-as well. Per block the postings asked for then meet its windows: the rarest term's positions, less the term's offset in
+delta-coded positions of the term in the block. It is written where the documents lie, block by block and sorted by
+term in a block, so building it shuffles nothing, and a hot term's postings are split by ranges of documents. A block's
+documents (place, first position, words) are its row for the empty term.
+
+A search never holds the benchmark in one place. The windows of the items are rows; the postings of their terms are
+taken out of the index once; terms are ranked by how often the whole corpus has them; a window is looked up by its
+rarest term and kept for the blocks that have its next rarest as well. Per block the postings asked for then meet its
+windows: the rarest term's positions, less the term's offset in
 the window, are intersected with those of the next rarest, and so on. What is left are the exact phrase matches.
 Proximity matches take the rarest term's postings and ask the other terms' for a position nearby in the same document.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from cohera.plans.shared import placed, written
 #: Words are runs of 0-9, a-z and every byte of a non-ASCII character; A-Z are lower-cased.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Words of a block (a longer document is a block of its own).
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 2_000_000
 PLACE = "struct<file: bigint, row: bigint>"
 
 
@@ -92,9 +94,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes())
         coded = pa.Array.from_buffers(pa.binary(), len(terms), [None, starts, pa.py_buffer(data.tobytes())])
         places = pa.array([np.array(docs, np.int64).tobytes()], pa.binary())
-        return pa.RecordBatch.from_arrays([
+        rows = pa.RecordBatch.from_arrays([
             pa.array([b"", *terms], pa.binary()), pa.array(np.full(len(terms) + 1, key)), pa.array(np.r_[len(docs), counts].astype(np.int64)), pa.concat_arrays([places, coded]),
         ], ["term", "block", "n", "data"])
+        return rows.take(pc.sort_indices(rows.column(0)))
 
     for batch in batches:
         files, rows = (batch.column(0).field(k).to_pylist() for k in range(2))
@@ -111,14 +114,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """The stored postings of `rows` (columns _at, as `placed` makes it, and the text): _INDEX, sorted by term and block.
+    """The stored postings of `rows` (columns _at, as `placed` makes it, and the text): _INDEX, sorted by block and term.
 
-    A null text is a document without words. The raw postings are written once, where the documents lie, and then
-    range-partitioned, so that texts are split into words only once and are never shuffled.
+    A null text is a document without words.
     """
     texts = rows.select("_at", F.col(f"`{text_col}`").cast("string").alias("text"))
-    raw = written(texts.mapInArrow(_blocks, _INDEX), "postings")
-    return written(raw.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "index")
+    return written(texts.mapInArrow(_blocks, _INDEX), "index")
 
 
 def documents(index: DataFrame) -> DataFrame:
@@ -158,12 +159,18 @@ def windows_of(bench: DataFrame, width: int = 10, item_col: str = "item_id", tex
     return items.mapInArrow(run, "w binary, terms array<binary>, item string")
 
 
+def asked_postings(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """The postings of the windows' terms, and the documents of every block. Stored."""
+    terms = windows.select(F.explode("terms").alias("term")).distinct()
+    wanted = terms.unionByName(terms.sparkSession.range(1).select(F.lit(b"").alias("term")))
+    return written(index.join(written(wanted, "terms"), "term", "left_semi"), "asked")
+
+
 def ranked_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
     """(w, terms): the distinct windows all of whose terms the corpus has, as (n, at, term) from the rarest to the commonest."""
     distinct = windows.groupBy("w").agg(F.first("terms").alias("terms"))
     each = distinct.select("w", F.posexplode("terms").alias("at", "term"))
-    wanted = each.select("term").distinct()
-    counts = index.select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = index.groupBy("term").agg(F.sum("n").alias("n"))
     found = each.join(counts, "term").groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("ranked"))
     return found.join(distinct, "w").filter(F.size("ranked") == F.size("terms")).select("w", F.col("ranked").alias("terms"))
 
@@ -209,17 +216,26 @@ class Postings:
         return np.searchsorted(self.docs[:, 2], position, side="right") - 1
 
 
-def phrase_matches(post: Postings, windows: list[list[tuple[int, bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, first position, length) of every exact occurrence; a window is its (offset, term) from the rarest on."""
+class Asked:
+    """Windows as flat arrays of (offset, term number in the block or -1), each from its rarest term on."""
+
+    def __init__(self, post: Postings, terms: pa.ListArray):
+        flat = terms.flatten()
+        self.sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.offset = pc.struct_field(flat, "at").to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.index_in(pc.struct_field(flat, "term"), value_set=pa.array(post.number, pa.binary()))
+        self.term = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def phrase_matches(post: Postings, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, first position, length) of every exact occurrence."""
     none = np.empty(0, np.int64)
     out = [(none, none, none)]
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(windows):
-        by_length.setdefault(len(w), []).append(i)
-    for n, own in by_length.items():
-        numbers = np.array(own, np.int64)
-        offset = np.array([[at for at, _ in windows[i]] for i in own], np.int64)
-        term = np.array([[post.number.get(t, -1) for _, t in windows[i]] for i in own], np.int64)
+    for n in np.unique(asked.sizes).tolist():
+        numbers = np.flatnonzero(asked.sizes == n)
+        at = asked.first[numbers][:, None] + np.arange(n)
+        offset, term = asked.offset[at], asked.term[at]
         alive = (term >= 0).all(axis=1)
         numbers, offset, term = numbers[alive], offset[alive], term[alive]
         lengths = post.counts[term[:, 0]]
@@ -240,12 +256,12 @@ def phrase_matches(post: Postings, windows: list[list[tuple[int, bytes]]]) -> tu
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def proximity_matches(post: Postings, windows: list[list[tuple[int, bytes]]], span: int) -> tuple[np.ndarray, np.ndarray]:
+def proximity_matches(post: Postings, asked: Asked, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(window, anchor) where a document has each term of the window within `span` words of the rarest term's anchor."""
     none = np.empty(0, np.int64)
     out = [(none, none)]
-    for number, window in enumerate(windows):
-        each = [post.number.get(t, -1) for t in dict.fromkeys(t for _, t in window)]
+    for number, (first, size) in enumerate(zip(asked.first.tolist(), asked.sizes.tolist(), strict=True)):
+        each = list(dict.fromkeys(asked.term[first : first + size].tolist()))
         if min(each) < 0:
             continue
         near = post.of(each[0])
@@ -267,8 +283,8 @@ def _met(proximity: int | None):
         if not asked.num_rows or not found.num_rows:
             return schema.empty_table()
         post = Postings(found.column("term").to_pylist(), found.column("data").to_pylist())
-        ids = asked.column("w").to_pylist()
-        windows = [[(t["at"], t["term"]) for t in w] for w in asked.column("terms").to_pylist()]
+        ids = asked.column("w")
+        windows = Asked(post, asked.column("terms").combine_chunks())
         which, start, length = phrase_matches(post, windows)
         doc = post.document(start)
         near_which, near_at = proximity_matches(post, windows, proximity) if proximity is not None else (start[:0], start[:0])
@@ -282,7 +298,7 @@ def _met(proximity: int | None):
             hit = np.zeros(n + 1, np.int32)
             np.add.at(hit, start[own] - begin, 1)
             np.add.at(hit, start[own] - begin + length[own], -1)
-            rows.append(({"file": file, "row": row}, np.flatnonzero(np.cumsum(hit)), [ids[i] for i in np.unique(which[own])], [ids[i] for i in np.unique(near_which[close])]))
+            rows.append(({"file": file, "row": row}, np.flatnonzero(np.cumsum(hit)), ids.take(np.unique(which[own])).to_pylist(), ids.take(np.unique(near_which[close])).to_pylist()))
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(names.values())], schema=schema)
 
     return run
@@ -291,7 +307,8 @@ def _met(proximity: int | None):
 def phrase_hits(index: DataFrame, bench: DataFrame, width: int = 10, item_col: str = "item_id", text_col: str = "text", proximity: int | None = None) -> DataFrame:
     """(_at, hits, items, near_items) of the documents that match; as `decontaminate` says. Stored."""
     windows = written(windows_of(bench, width, item_col, text_col), "windows")
-    asked = written(candidates(index, written(ranked_windows(index, windows), "ranked")), "asked")
+    index = asked_postings(index, windows)
+    asked = written(candidates(index, written(ranked_windows(index, windows), "ranked")), "candidates")
     wanted = asked.select("block", F.explode(F.transform("terms", lambda t: t["term"])).alias("term"))
     wanted = wanted.unionByName(asked.select("block", F.lit(b"").alias("term"))).distinct()
     found = index.join(wanted, ["block", "term"], "left_semi").select("block", "term", "data")
