@@ -68,16 +68,16 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", n.alias("degree"), (n == 0).alias("isolated"))
 
 
-def relax_distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 200) -> DataFrame:
+def relax_distances(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """(src, dst, d) shortest distances from `sources` (id), by min-plus joins until nothing changes.
 
-    Each round joins the pairs that changed with the adjacency, and is cut off in the shared folder; one count a
+    There are as many rounds as the longest of the shortest paths has edges. Each joins the pairs that changed with the adjacency, and is cut off in the shared folder; one count a
     round reaches the driver. Pairs that can't be reached are absent. Weights must not be negative.
     """
-    steps = cut(adjacency(edges).select(F.col("src").alias("via"), F.col("dst").alias("to"), "weight"))
+    steps = cut(adjacency(edges, directed).select(F.col("src").alias("via"), F.col("dst").alias("to"), "weight"))
     best = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d")))
     changed = best
-    for _ in range(max_rounds):
+    while True:
         tried = changed.join(steps, F.col("dst") == F.col("via")).groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("d") + F.col("weight")).alias("nd"))
         merged = cut(best.join(tried, ["src", "dst"], "full_outer").select("src", "dst", F.least("d", "nd").alias("nd"), "d"))
         better = F.col("d").isNull() | (F.col("nd") < F.col("d"))
@@ -85,7 +85,6 @@ def relax_distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 200)
         changed = merged.filter(better).select("src", "dst", F.col("nd").alias("d"))
         if changed.isEmpty():
             return best
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
 def hop_distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
@@ -104,18 +103,15 @@ def hop_distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
 
 def distances(vertices: DataFrame, edges: DataFrame, directed: bool = False, weighted: bool = True) -> DataFrame:
     """(src, dst, d) between all vertices: a heap search a source where the edge list is small, else relaxation."""
-    adj = adjacency(edges, directed)
-    if directed or edges.count() <= MOST_BROADCAST_EDGES:
-        rows = adj.limit(2 * MOST_BROADCAST_EDGES + 1).toArrow().to_pylist()
-        if len(rows) <= 2 * MOST_BROADCAST_EDGES:
-            near: dict = defaultdict(list)
-            for r in rows:
-                near[r["src"]].append((r["dst"], r["weight"] if weighted else 1.0))
-            shared = vertices.sparkSession.sparkContext.broadcast(dict(near))
-            kind = vertices.schema["id"].dataType.simpleString()
-            return vertices.select("id").mapInArrow(_searched(shared), f"src {kind}, dst {kind}, d double")
-        raise ValueError("a directed graph of this size needs relaxation over its own adjacency")
-    return relax_distances(edges if weighted else edges.withColumn("weight", F.lit(1.0)), vertices)
+    rows = adjacency(edges, directed).limit(2 * MOST_BROADCAST_EDGES + 1).toArrow()
+    if rows.num_rows > 2 * MOST_BROADCAST_EDGES:
+        return relax_distances(edges if weighted else edges.withColumn("weight", F.lit(1.0)), vertices, directed)
+    near: dict = defaultdict(list)
+    for r in rows.to_pylist():
+        near[r["src"]].append((r["dst"], r["weight"] if weighted else 1.0))
+    shared = vertices.sparkSession.sparkContext.broadcast(dict(near))
+    kind = vertices.schema["id"].dataType.simpleString()
+    return vertices.select("id").mapInArrow(_searched(shared), f"src {kind}, dst {kind}, d double")
 
 
 def _searched(shared):

@@ -46,7 +46,7 @@ def hypothesis_prompts(pairs: DataFrame, titles: DataFrame, most: int = 6) -> Da
     table = pairs.sparkSession.createDataFrame(rows, "t1 string, t2 string, number int, template string")
     base = F.array(*[F.struct(F.lit(k).alias("number"), F.lit(t).alias("template")) for k, t in enumerate(BASE[:most])])
     own = table.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("number", "template"))).alias("own"))
-    j = pairs.join(F.broadcast(own), ["t1", "t2"], "left").withColumn("x", F.explode(F.coalesce("own", base)))
+    j = pairs.join(own, ["t1", "t2"], "left").withColumn("x", F.explode(F.coalesce("own", base)))
     name = lambda c, p: titles.select(F.col("id").alias(c), F.col("title").alias(p))
     j = j.join(name("id", "ta"), "id", "left").join(name("other", "tb"), "other", "left")
     text = F.replace(F.replace("x.template", F.lit("{a}"), F.coalesce("ta", F.col("id").cast("string"))), F.lit("{b}"), F.coalesce("tb", F.col("other").cast("string")))
@@ -71,12 +71,15 @@ def triage_prompts(candidates: DataFrame, titles: DataFrame, size: int = 20) ->
 
 def read_answers(answers: DataFrame) -> DataFrame:
     """(source_id, target_id, link_type, confidence, reason) of answers (chunk, pairs, answer): code fences are stripped;
-    a type that isn't known, and an answer that isn't JSON, is no link."""
+    a type that isn't known, a pair that the answer leaves out, and an answer that isn't JSON, are no link of confidence 0.
+
+    Every pair asked for comes back once; of several answers to one pair the first counts."""
     bare = F.regexp_replace(F.regexp_replace(F.trim("answer"), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    got = answers.withColumn("a", F.from_json(bare, ANSWER)).select("pairs", F.explode("a").alias("a"))
-    ends = F.get("pairs", F.col("a.pair"))
-    kind = F.when(F.col("a.link_type").isin(*LINK_TYPES), F.col("a.link_type")).otherwise(NO_LINK)
-    return got.filter(ends.isNotNull()).select(ends["id"].alias("source_id"), ends["other"].alias("target_id"), kind.alias("link_type"), F.coalesce("a.confidence", F.lit(0.0)).alias("confidence"), F.col("a.reason").alias("reason"))
+    each = answers.withColumn("found", F.from_json(bare, ANSWER)).select("found", F.posexplode("pairs").alias("pair", "ends"))
+    got = each.withColumn("a", F.get(F.filter("found", lambda x: x["pair"] == F.col("pair")), F.lit(0)))
+    ends, known = F.col("ends"), F.col("a.link_type").isin(*LINK_TYPES)
+    kind = F.when(known, F.col("a.link_type")).otherwise(NO_LINK)
+    return got.select(ends["id"].alias("source_id"), ends["other"].alias("target_id"), kind.alias("link_type"), F.coalesce("a.confidence", F.lit(0.0)).alias("confidence"), F.col("a.reason").alias("reason"))
 
 
 def review_queue(classified: DataFrame, least: float = 0.5, sure: float = 0.8) -> DataFrame:

@@ -97,7 +97,9 @@ def html(row) -> str:
 
 
 def text_table(df: DataFrame, most: int = 50) -> str:
-    """The first rows of a small result as aligned text."""
-    rows = [df.columns, *[[str(v) for v in r] for r in df.limit(most).collect()]]
+    """The first rows by the first column as aligned text, and how many more there are."""
+    rows = [df.columns, *[[str(v) for v in r] for r in df.orderBy(F.col(f"`{df.columns[0]}`")).limit(most).collect()]]
     widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows)
+    more = df.count() - most if len(rows) > most else 0
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows]
+    return "\n".join(lines + [f"... and {more} more rows"] * (more > 0))

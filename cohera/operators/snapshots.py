@@ -105,13 +105,19 @@ def cluster_pairs(history: DataFrame, snapshot_ids: list[str], most: int = 5) ->
 
 
 def converging(old: DataFrame, new: DataFrame, most: int = 5) -> DataFrame:
-    """(id, other, gain): entry pairs whose centroids came closer, by the largest gain, among each new centroid's nearest."""
-    c = lambda x: centroids(x.select("entry_id", F.col("embedding").alias("vec")), "entry_id").withColumnRenamed("entry_id", "id")
-    a, b = c(old), c(new)
-    near = similar(b, b, None, 20, above=True)
-    va, vb = a.select("id", F.col("vec").alias("va")), a.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
-    j = near.join(va, "id").join(vb, "other").withColumn("gain", F.round(F.col("cosine") - cosine(F.col("va"), F.col("vb")), 4))
-    return j.filter("gain > 0").orderBy(F.desc("gain"), "id", "other").limit(most).select("id", "other", "gain")
+    """(id, other, gain): pairs of chunks in both snapshots whose cosine rose most, gains of over 0 in falling order.
+
+    Over all pairs: with unit vectors a (old) and b (new) the gain of a pair is the product of (b, a) of one with
+    (b, -a) of the other, so the largest gains are the nearest of such doubled vectors, whose squared length is 2.
+    Chunks without a direction (null or zero vectors) in either snapshot have no pairs.
+    """
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
+    long = lambda c: F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")) > 0
+    both = new.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("b")).join(old.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("a")), "id")
+    both = both.filter(long(F.col("a")) & long(F.col("b"))).select("id", unit(F.col("a")).alias("a"), unit(F.col("b")).alias("b"))
+    left, right = both.select("id", F.concat("b", "a").alias("vec")), both.select("id", F.concat("b", F.transform("a", lambda x: -x)).alias("vec"))
+    near = similar(left, right, None, most, above=True).withColumn("gain", F.round(2 * F.col("cosine"), 4))
+    return near.filter("cosine > 0").orderBy(F.desc("cosine"), "id", "other").limit(most).select("id", "other", "gain")
 
 
 def topology(new: DataFrame, old: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -125,13 +125,24 @@ def topk_bridges(bundle: DataFrame, kb: DataFrame, threshold: float = 0.70, most
 def best_chunks(chunks: DataFrame, queries: DataFrame, candidates: int = 10, kind: str = "half_shift") -> DataFrame:
     """(id, entry_id, similarity): each query's best chunk a KB entry, among its `candidates` nearest chunks.
 
-    A reranker changes nothing but the number of candidates (20 instead of 10).
+    Before a reranker 20 candidates are asked for instead of 10.
     """
     near = similar(queries, chunks.select(F.col("chunk_id").alias("id"), "vec"), None, candidates)
     named = near.join(chunks.select(F.col("chunk_id").alias("other"), "entry_id"), "other")
     return named.groupBy("id", "entry_id").agg(F.max(similarity(F.col("cosine"), kind)).alias("similarity"))
 
 
+def rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """`candidates` (id, entry_id, similarity) in the order of a cross-encoder's `scores` (id, entry_id, score).
+
+    rerank_score and rerank_rank (0 for the best of an id, ties by entry_id) are added; similarity stays the cosine
+    that thresholds are meant for. A candidate without a score ranks last.
+    """
+    j = candidates.join(scores.select("id", "entry_id", F.col("score").cast("double").alias("rerank_score")), ["id", "entry_id"], "left")
+    best = Window.partitionBy("id").orderBy(F.desc_nulls_last("rerank_score"), "entry_id")
+    return j.withColumn("rerank_rank", F.row_number().over(best) - 1)
+
+
 def linked_pairs(links: DataFrame) -> DataFrame:
     return links.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct().withColumn("linked", F.lit(True))
 

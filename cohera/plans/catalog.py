@@ -581,41 +581,42 @@ def t01_sentence_breaks(spark, d):
     return docs.select("doc_id", F.size(F.split(t, "\u0001")).cast("long").alias("n_raw"))
 
 
-@query()
+ABBR_SQL = ", ".join(f"'{a}'" for a in claims.ABBREVIATIONS)
+
+
+@query(rf"""WITH s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(range(2, len(c) + 1), lambda i: lower(string_split_regex(trim(regexp_replace(c[i - 1], '[.!?]+$', '')), '\s+')[-1]) NOT IN ({ABBR_SQL})) AS k FROM s)
+SELECT doc_id, CAST(CASE WHEN trim(t) = '' THEN 0 ELSE 1 + len(k) END AS INT) AS n_sentences FROM w""")
 def t02_sentences(spark, d):
     docs = tables.read(spark, d, "documents")
     return docs.select("doc_id", F.size(claims.sentences(F.coalesce("text", F.lit("")))).alias("n_sentences"))
 
 
-_TEXTS = [
-    "We find that the model recovers the expected scaling at 3σ level.", "This result contradicts the standard model.", "According to the literature, our results imply nothing.",
-    "The weather was fine on Tuesday.", "Our measurements confirm that gravity is consistent with theory.", "The data show a significant tension with earlier values.", "X implies that Y follows from Z.",
-]
-_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEXTS))
 _RE2 = lambda ps: "(?i)" + "|".join(ps)
+_HITS = lambda ps: " + ".join(f"CAST(regexp_matches(text, '(?i){p}') AS INT)" for p in ps)
 
 
-def _texts(spark):
-    return spark.createDataFrame(list(enumerate(_TEXTS)), "id int, text string")
+def _texts(spark, d):
+    return tables.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query(f"""WITH t(id, text) AS (VALUES {_VALUES}) SELECT id, CASE WHEN regexp_matches(text, '{_RE2(claims.NEGATIVE)}') THEN 'negative' WHEN regexp_matches(text, '{_RE2(claims.POSITIVE)}') THEN 'positive' ELSE 'neutral' END AS polarity FROM t""")
-def t03_polarity(spark, d):
-    return _texts(spark).select("id", claims.polarity(F.col("text")).alias("polarity"))
+TEXT_SQL = "t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
 
-_HITS = lambda ps: " + ".join(f"CAST(regexp_matches(text, '(?i){p}') AS INT)" for p in ps if "σ" not in p)
+@query(f"""WITH {TEXT_SQL} SELECT doc_id, CASE WHEN regexp_matches(text, '{_RE2(claims.NEGATIVE)}') THEN 'negative' WHEN regexp_matches(text, '{_RE2(claims.POSITIVE)}') THEN 'positive' ELSE 'neutral' END AS polarity FROM t""")
+def t03_polarity(spark, d):
+    return _texts(spark, d).select("doc_id", claims.polarity(F.col("text")).alias("polarity"))
 
 
-@query(f"""WITH t(id, text) AS (VALUES {_VALUES}), h AS (SELECT id, {_HITS(claims.CLAIM_SIGNS)} + CAST(regexp_matches(text, 'at [0-9]+σ') AS INT) AS c, {_HITS(claims.BACKGROUND_SIGNS)} AS b FROM t)
-SELECT id, CASE WHEN c >= 2 THEN 'high' WHEN c = 1 AND b = 0 THEN 'medium' WHEN c = 1 THEN 'low' END AS confidence FROM h""")
+@query(f"""WITH {TEXT_SQL}, h AS (SELECT doc_id, {_HITS(claims.CLAIM_SIGNS)} AS c, {_HITS(claims.BACKGROUND_SIGNS)} AS b FROM t)
+SELECT doc_id, CASE WHEN c >= 2 THEN 'high' WHEN c = 1 AND b = 0 THEN 'medium' WHEN c = 1 THEN 'low' END AS confidence FROM h""")
 def t04_claim_confidence(spark, d):
-    return _texts(spark).select("id", claims.claim_confidence(F.col("text")).alias("confidence"))
+    return _texts(spark, d).select("doc_id", claims.claim_confidence(F.col("text")).alias("confidence"))
 
 
 @query()
 def t05_claims(spark, d):
-    return claims.extract_claims(_texts(spark)).withColumn("polarity_markers", F.array_join("polarity_markers", ","))
+    return claims.extract_claims(_texts(spark, d)).withColumn("polarity_markers", F.array_join("polarity_markers", ","))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -743,6 +744,14 @@ def s05_cluster_pairs(spark, d):
     return snapshots.cluster_pairs(v, ["s"]).drop("snapshot_id")
 
 
+@query(f"""WITH {HIST_SQL}, j AS (SELECT CAST(id AS VARCHAR) AS id, s1.e AS a, s2.e AS b FROM s1 JOIN s2 USING (id)),
+g AS (SELECT x.id, y.id AS other, list_cosine_similarity(x.b, y.b) - list_cosine_similarity(x.a, y.a) AS g FROM j x JOIN j y ON x.id < y.id)
+SELECT id, other, round(g, 4) AS gain FROM g WHERE g > 0 ORDER BY g DESC, id, other LIMIT 5""")
+def s06_converging(spark, d):
+    h = _history(spark, d)
+    return snapshots.converging(snapshots.at(h, "s1"), snapshots.at(h, "s2"))
+
+
 # ---- chart data --------------------------------------------------------------------------------------------------
 
 

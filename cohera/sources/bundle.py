@@ -31,11 +31,21 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     schema = BUNDLE[table]
     try:
         found = spark.read.option("mergeSchema", "true").parquet(f"{path}/{table}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T.StructType.fromDDL(schema))
     return conform(found, schema, DEFAULTS.get(table))
 
 
+def read_bridges(spark: SparkSession, path: str) -> DataFrame:
+    """The bridges of a bundle; an error where it has no such table (a graph over both sides would lack its middle)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cross_universe_bridges")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise ValueError(f"{path} has no cross_universe_bridges: bridge it first")
+    return read_table(spark, path, "cross_universe_bridges")
+
+
 def open_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, path, t) for t in BUNDLE}
 
@@ -53,12 +63,13 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def insert_or_ignore(spark: SparkSession, path: str, table: str, rows: DataFrame) -> int:
-    """Append rows whose unique key isn't there yet (the first of each key); links are always appended. Rows added."""
+    """Append rows whose unique key isn't there yet (of each key the first row); links are always appended. Rows added."""
     rows = conform(rows, BUNDLE[table], DEFAULTS.get(table))
     keys = UNIQUE.get(table)
     if keys:
         old = read_table(spark, path, table).select(*keys)
-        rows = rows.dropDuplicates(keys).join(old, keys, "left_anti")
+        numbered = cut(rows.withColumn("_at", F.monotonically_increasing_id()))
+        rows = first_of(numbered, keys, ["_at"]).drop("_at").join(old, keys, "left_anti")
     rows = cut(rows)
     n = rows.count()
     if n:
