@@ -15,6 +15,7 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -78,36 +79,36 @@ class Vocabulary:
         if in_buckets is not None:
             self.log_total[known:] = np.log(in_buckets + 1.0)
 
-    def rare(self, text: bytes | None, ids: np.ndarray) -> np.ndarray:
-        """Hashes (Spark's xxhash64) of the text's words that only have a bucket; `ids` are its words' numbers."""
-        own, at = words(text), np.flatnonzero(ids >= self.known).tolist()
-        return np.fromiter((xxhash.xxh64_intdigest(own[i], 42) for i in at), np.uint64, len(at)).view(np.int64)
-
-    def shares(self, hashes: np.ndarray) -> tuple[float, np.ndarray]:
-        """Summed log counts of the words held, and the hashes of those that aren't."""
+    def shares(self, rare: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words that only have a bucket: log counts (0 if not held), whether they aren't held, hashes (Spark's xxhash64)."""
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, rare, repeat(42)), np.uint64, len(rare)).view(np.int64)
         keys, logs = self.held
         if not len(keys):
-            return 0.0, hashes
+            return np.zeros(len(hashes)), np.ones(len(hashes), bool), hashes
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         here = keys[at] == hashes
-        return float(logs[at[here]].sum()), hashes[~here]
+        return np.where(here, logs[at], 0.0), ~here, hashes
 
-    def encode(self, text: bytes | None) -> np.ndarray:
+    def encode(self, text: bytes | None, rare: list[bytes]) -> np.ndarray:
+        """Numbers of the text's words; those that only have a bucket are added to `rare`."""
         own = words(text)
-        return np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-
-    def flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers with marks between documents, places of tokens, document of each token)."""
+        ids = np.fromiter(map(self.number.get, own, repeat(-1)), np.int64, len(own))
+        if (unknown := ids < 0).any():
+            found = list(compress(own, unknown.tolist()))
+            ids[unknown] = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % BUCKETS + self.known
+            rare += found
+        return ids
+
+    def flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(numbers with marks between documents, places of tokens, document of each token, words that only have a bucket)."""
         gap = np.full(SIDE, self.outside)
-        parts, place, doc, at = [gap], [], [], SIDE
+        parts, sizes, rare = [gap], np.zeros(len(texts), np.int64), []
         for d, text in enumerate(texts):
-            ids = self.encode(text)
+            ids = self.encode(text, rare)
             parts += [ids, gap]
-            place.append(np.arange(at, at + len(ids)))
-            doc.append(np.full(len(ids), d))
-            at += len(ids) + SIDE
-        none = np.empty(0, np.int64)
-        return np.concatenate(parts), np.concatenate([none, *place]), np.concatenate([none, *doc])
+            sizes[d] = len(ids)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        return np.concatenate(parts), np.arange(len(doc)) + SIDE * (doc + 1), doc, rare
 
 
 class Network:
@@ -135,22 +136,30 @@ class Network:
 
     def hidden(self, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         around = [ids[place + k] for k in self.OFFSETS]
-        x = self.p["bias"] + self.p["emb"][0][around[0]]
+        x = self.p["bias"] + self.p["emb"][0].take(around[0], axis=0)
         for k in range(1, len(around)):
-            x += self.p["emb"][k][around[k]]
-        return np.tanh(x), around
-
-    @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+            x += self.p["emb"][k].take(around[k], axis=0)
+        return np.tanh(x, out=x), around
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+    def _exp(z: np.ndarray) -> np.ndarray:
+        """exp(z) in place, of rows lowered by their largest entry first if single precision asks for it; row sums."""
+        if not (z.max() < 60 and z.min() > -60):
+            z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        return z @ np.ones(z.shape[1], z.dtype)
+
+    @classmethod
+    def _log_softmax_at(cls, z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log softmax of each row at its target; z is used up."""
+        if not (z.max() < 60 and z.min() > -60):
+            z -= z.max(axis=1, keepdims=True)
+        chosen = z[np.arange(len(z)), target]
+        return chosen - np.log(cls._exp(z))
+
+    @classmethod
+    def _softmax(cls, z: np.ndarray) -> np.ndarray:
+        z *= (1 / cls._exp(z))[:, None]
         return z
 
     def log_probs(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -163,13 +172,15 @@ class Network:
             order = np.argsort(cls.astype(np.int16), kind="stable")
             at, cls, within = at[order], cls[order], within[order]
             h, _ = self.hidden(ids, at)
-            z = self._log_softmax(h @ self.p["cls"] + self.p["cls_bias"])
-            lp = z[np.arange(len(at)), cls]
+            z = h @ self.p["cls"]
+            z += self.p["cls_bias"]
+            lp = self._log_softmax_at(z, cls)
             ends = np.searchsorted(cls, np.arange(self.classes + 1))
             for c in np.unique(cls).tolist():
                 a, b = ends[c], ends[c + 1]
-                z = self._log_softmax(h[a:b] @ self.p["out"][c] + self.p["out_bias"][c])
-                lp[a:b] += z[np.arange(b - a), within[a:b]]
+                z = h[a:b] @ self.p["out"][c]
+                z += self.p["out_bias"][c]
+                lp[a:b] += self._log_softmax_at(z, within[a:b])
             out[lo + order] = lp
         return out
 
@@ -184,26 +195,34 @@ class Network:
             at, cls, within = at[order], cls[order], within[order]
             n = np.float32(len(at))
             h, around = self.hidden(ids, at)
-            g = self._softmax(h @ p["cls"] + p["cls_bias"])
+            g = h @ p["cls"]
+            g += p["cls_bias"]
+            g = self._softmax(g)
             g[np.arange(len(at)), cls] -= 1
             dh = g @ p["cls"].T
             self._step("cls", ..., h.T @ g / n, memory)
-            self._step("cls_bias", ..., g.sum(0) / n, memory)
+            self._step("cls_bias", ..., self._total(g) / n, memory)
             ends = np.searchsorted(cls, np.arange(self.classes + 1))
             for c in np.unique(cls).tolist():
                 a, b = ends[c], ends[c + 1]
-                g = self._softmax(h[a:b] @ p["out"][c] + p["out_bias"][c])
+                g = h[a:b] @ p["out"][c]
+                g += p["out_bias"][c]
+                g = self._softmax(g)
                 g[np.arange(b - a), within[a:b]] -= 1
                 dh[a:b] += g @ p["out"][c].T
                 self._step("out", c, h[a:b].T @ g / n, memory)
-                self._step("out_bias", c, g.sum(0) / n, memory)
+                self._step("out_bias", c, self._total(g) / n, memory)
             dx = dh * (1 - h * h) / n
             self._step("bias", ..., dx.sum(0), memory)
             for k, ctx in enumerate(around):
                 by = np.argsort(ctx.astype(np.uint16) if len(p["emb"][k]) <= 65_536 else ctx, kind="stable")
                 ordered = ctx[by]
                 first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                self._step("emb", (k, ordered[first]), np.add.reduceat(dx[by], first, axis=0), memory)
+                self._step("emb", (k, ordered[first]), np.add.reduceat(dx.take(by, axis=0), first, axis=0), memory)
+
+    @staticmethod
+    def _total(g: np.ndarray) -> np.ndarray:
+        return np.ones(len(g), g.dtype) @ g
 
     def _step(self, name: str, where, grad: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         seen = memory[name][where] + grad * grad
@@ -267,8 +286,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """
     spark = docs.sparkSession
     counted = written(count_words(docs, text_col), "words")
-    known, classes = sizes(counted.count())
-    top = counted.orderBy(F.desc("n"), "word").limit(known).collect()
+    rung = F.floor(F.log2("n") * 8)  # counts in steps of an eighth of an octave
+    ladder = sorted(counted.groupBy(rung.alias("rung")).count().collect(), reverse=True)
+    known, classes = sizes(sum(r["count"] for r in ladder))
+
+    def most_frequent(rows: DataFrame, skipped: int, most: int) -> DataFrame:
+        """The first `most` rows by falling n, then word; `skipped` words before them. Only rungs that can hold them are sorted."""
+        places = np.cumsum([r["count"] for r in ladder])
+        last = int(np.searchsorted(places, skipped + most))
+        lowest = ladder[last]["rung"] if last < len(ladder) else 0
+        return rows.filter(rung >= lowest).orderBy(F.desc("n"), "word").limit(most)
+
+    top = most_frequent(counted, 0, known).collect()
     counts = np.zeros(known + BUCKETS)
     counts[: len(top)] = [r["n"] for r in top]
     beyond = F.lit(False)
@@ -279,12 +308,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     for r in others.groupBy((F.crc32("word") % BUCKETS).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
         counts[known + r["b"]] = r["n"]
     log_n = others.filter("n > 1").select(F.xxhash64("word").alias("h"), F.log(F.col("n").cast("double")).alias("log_n"), "n", "word")
-    held = log_n.orderBy(F.desc("n"), "word").limit(HELD).select("h", "log_n", "n", "word")
-    edge = held.agg(F.count(F.lit(1)), F.max_by(F.struct("n", "word"), F.struct(-F.col("n"), "word"))).first()
-    held = held.select("h", "log_n").toPandas().sort_values("h")
+    held = most_frequent(log_n, known, HELD).toPandas()
     beyond = F.lit(False)
-    if edge[0] == HELD:
-        beyond = (F.col("n") < edge[1]["n"]) | ((F.col("n") == edge[1]["n"]) & (F.col("word") > F.lit(bytes(edge[1]["word"]))))
+    if len(held) == HELD:
+        edge = held.iloc[-1]
+        beyond = (F.col("n") < int(edge.n)) | ((F.col("n") == int(edge.n)) & (F.col("word") > F.lit(bytes(edge.word))))
+    held = held.sort_values("h")
     shares = log_n.filter(beyond).select("h", "log_n")
     vocabulary = Vocabulary([bytes(r["word"]) for r in top], known, counts[known:], (held.h.to_numpy(np.int64), held.log_n.to_numpy(float)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -357,7 +386,7 @@ def _locally(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, raw: byt
     memory = network.memory()
     for batch in batches:
         for texts in slices(batch.column(0).cast(pa.binary())):
-            ids, place, _ = vocabulary.flat(texts)
+            ids, place, *_ = vocabulary.flat(texts)
             for k in range(passes):
                 network.train(ids, np.random.default_rng(k).permutation(place), memory)
             seen += len(place)
@@ -382,17 +411,19 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network, DataFrame], text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = shared.value[0], Network.unpack(shared.value[1])
         for batch in batches:
-            column, counts, sums, rare = batch.column(1).cast(pa.binary()), [], [], []
+            column, counts, sums, rare, left = batch.column(1).cast(pa.binary()), [], [], [], []
             for texts in slices(column):
-                ids, place, doc = vocabulary.flat(texts)
-                lp = network.log_probs(ids, place) - vocabulary.log_total[ids[place]]
+                ids, place, doc, words_left = vocabulary.flat(texts)
+                own = ids[place]
+                lp = network.log_probs(ids, place) - vocabulary.log_total[own]
+                logs, unheld, hashes = vocabulary.shares(words_left)
+                lp[own >= vocabulary.known] += logs
                 counts.append(np.bincount(doc, minlength=len(texts)))
-                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-                found = [vocabulary.shares(vocabulary.rare(t, ids[place[a:b]])) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
-                sums.append(np.bincount(doc, lp, len(texts)) + [f[0] for f in found])
-                rare += [f[1] for f in found]
+                sums.append(np.bincount(doc, lp, len(texts)))
+                rare.append(hashes[unheld])
+                left.append(np.bincount(doc[own >= vocabulary.known][unheld], minlength=len(texts)))
             n, s = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((counts, np.int64), (sums, np.float64)))
-            at = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            at = np.cumsum(np.concatenate([[0], *left])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *rare])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), lists], schema.names)
 
