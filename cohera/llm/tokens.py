@@ -2,7 +2,8 @@
 
 For a word the encoding of each prefix ends in exactly one token: the vocabulary entry t that is a suffix of the
 prefix and that byte-pair merging keeps apart from the last token of what precedes it. So count[i] =
-count[i - len(t)] + 1, and one pass gives the exact count at every prefix. Texts are cut where the
+count[i - len(t)] + 1, and one pass gives the exact count at every prefix. An automaton over the vocabulary, built as
+words ask for it, names the entries that end at a byte, longest first. Texts are cut where the
 pre-tokenizer's decision on one side can't change the other's, and each distinct piece is worked out once a worker.
 
 Stored form: int16 differences, one for each character; their running sum is the token count of each prefix.
@@ -34,6 +35,7 @@ _SPACE_RUN = regex.compile(r"\s | \Z|\A ")
 _LATER_SCRIPTS = regex.compile(r"[^\x00-\u052f]+")
 #: Distinct pieces that a worker remembers (twice over, at most), and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 48
+_NO_RANK = 1 << 40
 
 
 def default_path() -> str:
@@ -47,6 +49,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _State:
+    """What reading a word knows: the longest end that begins a vocabulary entry, and the entries that are ends, longest first."""
+
+    __slots__ = ("held", "ends", "next")
+
+    def __init__(self, held: bytes, ends: list[tuple[int, int, bytes]]):
+        self.held, self.ends, self.next = held, ends, {}
+
+
 class PrefixCounter:
     """Counts tokens at every prefix as the tokenizer file's own encoder would, without added special tokens."""
 
@@ -58,11 +69,11 @@ class PrefixCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
-        self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in special}
-        self.tails = {t[i:] for t in self.vocab for i in range(len(t))}
+        self.number = {raw(t): i for i, t in enumerate(spec["model"]["vocab"]) if t not in special}
+        self.heads = {t[:i] for t in self.number for i in range(1, len(t) + 1)}
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.whole: dict[bytes, bool] = {}
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.states = {b"": _State(b"", [])}
+        self.apart: dict[int, bool] = {}
         self.runs = Memory(self._run, REMEMBERED, LONGEST)
         self.spaced = Memory(lambda piece: self._pieces(" " + piece), REMEMBERED, LONGEST)
         self.units = Memory(self._pieces, 50_000, LONGEST)
@@ -96,55 +107,50 @@ class PrefixCounter:
             self._classes()
 
     def merge(self, word: bytes) -> list[bytes]:
-        """Byte-pair merging of one word."""
+        """Byte-pair merging of one word: the pair of least rank first, of equal ones the leftmost."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 40))
-            if best not in self.rank:
+            ranks = [self.rank.get(pair, _NO_RANK) for pair in zip(parts, parts[1:], strict=False)]
+            if (best := min(ranks)) == _NO_RANK:
                 break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _step(self, state: _State, byte: int) -> _State:
+        """The state after one more byte: the longest end of what was read that begins an entry of the vocabulary."""
+        held = state.held + bytes((byte,))
+        while held and held not in self.heads:
+            held = held[1:]
+        if (after := self.states.get(held)) is None:
+            ends = [held[k:] for k in range(len(held))]
+            after = self.states[held] = _State(held, [(len(t), self.number[t], t) for t in ends if t in self.number and self.merge(t) == [t]])
+        state.next[byte] = after
+        return after
+
     def _run(self, run: str) -> bytes:
         """Differences over one pre-token."""
         word = run.encode()
-        count, last = [0], [b""]
-        for i in range(1, len(word) + 1):
-            for j in range(i - 1, -1, -1):
-                tail = word[j:i]
-                if tail not in self.tails:
-                    j = -1
-                    break
-                if tail not in self.vocab:
-                    continue
-                if (ok := self.whole.get(tail)) is None:
-                    ok = self.whole[tail] = self.merge(tail) == [tail]
-                if not ok:
-                    continue
-                if j == 0:
+        state, apart = self.states[b""], self.apart
+        count, last, names = [0], [0], [b""]
+        for i, byte in enumerate(word, 1):
+            state = state.next.get(byte) or self._step(state, byte)
+            for size, number, tail in state.ends:
+                j = i - size
+                if not j:
                     break
-                before = last[j]
-                pair = (before, tail)
-                if (ok := self.apart.get(pair)) is None:
-                    if len(self.apart) > 2_000_000:
-                        self.apart.clear()
-                    ok = self.apart[pair] = self.merge(before + tail) == [before, tail]
+                pair = last[j] << 32 | number
+                if (ok := apart.get(pair)) is None:
+                    if len(apart) > 2_000_000:
+                        apart.clear()
+                    ok = apart[pair] = self.merge(names[j] + tail) == [names[j], tail]
                 if ok:
                     break
             else:
-                j = -1
-            if j < 0:
                 raise ValueError("the vocabulary can't encode this text")
             count.append(count[j] + 1)
-            last.append(word[j:i])
+            last.append(number)
+            names.append(tail)
         if len(word) != len(run):
             count = [0, *(count[k] for k in range(1, len(word) + 1) if k == len(word) or word[k] & 0xC0 != 0x80)]
         return array("h", map(int.__sub__, count[1:], count)).tobytes()
