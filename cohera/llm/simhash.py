@@ -35,8 +35,8 @@ LANES = 8
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 50_000, 250_000
 #: Trie nodes that a node of a crowded bucket may meet, itself included. Only fingerprints that are nearly all alike stay crowded.
 MOST_PARTNERS = 1_024
-#: Mean rows of a bucket up to which fewer, larger buckets are chosen.
-MEAN_BUCKET = 4_096
+#: Mean rows of a bucket up to which fewer, larger buckets are chosen: comparisons grow with its square, dealt rows with r.
+MEAN_BUCKET = 256
 
 
 def _shingles(words: list[bytes], k: int) -> list[bytes]:
