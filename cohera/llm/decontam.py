@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohera.llm.memory import lean
 from cohera.plans.shared import placed, written
 
 #: Words are runs of 0-9, a-z and every byte of a non-ASCII character; A-Z are lower-cased.
@@ -119,7 +120,7 @@ def build_index(rows: DataFrame, text_col: str = "text") -> DataFrame:
     A null text is a document without words.
     """
     texts = rows.select("_at", F.col(f"`{text_col}`").cast("string").alias("text"))
-    return written(texts.mapInArrow(_blocks, _INDEX), "index")
+    return written(texts.mapInArrow(lean(_blocks), _INDEX), "index")
 
 
 def documents(index: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def documents(index: DataFrame) -> DataFrame:
                 place = pa.StructArray.from_arrays([pa.array(file), pa.array(row)], ["file", "row"])
                 yield pa.RecordBatch.from_arrays([place, pa.array(n)], ["_at", "n_words"])
 
-    return index.filter(F.length("term") == 0).select("data").mapInArrow(run, f"_at {PLACE}, n_words bigint")
+    return index.filter(F.length("term") == 0).select("data").mapInArrow(lean(run), f"_at {PLACE}, n_words bigint")
 
 
 # ---- the search --------------------------------------------------------------------------------------------------
@@ -156,7 +157,7 @@ def windows_of(bench: DataFrame, width: int = 10, item_col: str = "item_id", tex
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(cuts, pa.list_(pa.binary())), pa.array([item] * len(cuts), pa.string())], ["w", "terms", "item"])
 
     items = bench.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return items.mapInArrow(run, "w binary, terms array<binary>, item string")
+    return items.mapInArrow(lean(run), "w binary, terms array<binary>, item string")
 
 
 def asked_postings(index: DataFrame, windows: DataFrame) -> DataFrame:

@@ -1,7 +1,36 @@
-"""A bounded memory of worked-out values, for use within a worker."""
+"""A bounded memory of worked-out values, for use within a worker, and memory given back at a task's end."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
+
+#: glibc alone has it; elsewhere freed memory is left to the allocator.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps workers for later tasks, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function from batches to batches, followed by give_back()."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
 
 class Memory(dict):
     """Remembers make(key) for short keys in two generations: what is asked for again outlives a change."""

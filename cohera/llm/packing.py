@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cohera.llm.memory import lean
 from cohera.plans.shared import cut
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -191,7 +192,7 @@ def with_lengths(docs: DataFrame, text_col: str = "text", out_col: str = "n_toke
             counts = [len(encode((t.as_py() or b"").decode("utf-8", "replace"))) for t in batch.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> DataFrame:
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
     offsets = cut(counts.select("part", "n", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("skip")))
     histogram = {r["n"]: r["k"] for r in counts.groupBy("n").agg(F.sum("k").alias("k")).collect()}
     plan = docs.sparkSession.sparkContext.broadcast(plan_bins(histogram, capacities, cost))
-    ranked = pieces.mapInArrow(rank, schema).join(offsets, ["part", "n"], "left")
+    ranked = pieces.mapInArrow(lean(rank), schema).join(offsets, ["part", "n"], "left")
     ranked = ranked.select("id", "piece", "start", "n", (F.col("local") + F.col("skip")).alias("rank"))
     made = [("bin_id", T.LongType()), ("bin_capacity", T.IntegerType()), ("bin_offset", T.IntegerType())]
     final = T.StructType([*ranked.schema.fields[:4], *[T.StructField(c, t) for c, t in made]])
@@ -245,7 +246,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens",
             out = [pa.array(x, t, mask=none) for x, t in ((bins, pa.int64()), (capacity.astype(np.int32), pa.int32()), (offset.astype(np.int32), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *out], final.names)
 
-    return ranked.mapInArrow(assign, final).withColumnsRenamed({"id": id_col, "n": "n_tokens"})
+    return ranked.mapInArrow(lean(assign), final).withColumnsRenamed({"id": id_col, "n": "n_tokens"})
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohera.llm.memory import lean
 from cohera.operators.components import connected_components
 from cohera.plans.shared import cut, salted_lookup, written
 
@@ -98,7 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(wide, pa.binary())], ["id", "fp", "wide"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def trie_links(values: np.ndarray, bucket: np.ndarray, budget: int, side: np.ndarray | None = None, wide: np.ndarray | None = None, wide_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +290,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, most_in_bucket: int
         F.col("wide") if "wide" in distinct.columns else F.lit(None).cast("binary").alias("wide"),
     )
     tasks = dealt_buckets(rows, budget, most_in_bucket).repartition("k").sortWithinPartitions("k")
-    return tasks.mapInArrow(_bucket_links(budget, wide_bits), "u bigint, v bigint")
+    return tasks.mapInArrow(lean(_bucket_links(budget, wide_bits)), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, budget: int = 3, wide_words: int | None = None, similarity: float = 0.8) -> DataFrame:

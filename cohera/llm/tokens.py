@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from cohera.llm.memory import Memory
+from cohera.llm.memory import Memory, lean
 from cohera.plans.shared import written
 
 # Fixed values of the byte-level pre-tokenizer: its contractions.
@@ -261,7 +261,7 @@ def prefix_token_counts(docs: DataFrame, text_col: str = "text", path: str | Non
             made = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(stored, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def within_budget(counted: DataFrame, budget: int = 1024) -> DataFrame:
@@ -278,7 +278,7 @@ def within_budget(counted: DataFrame, budget: int = 1024) -> DataFrame:
             fit = [None if v.as_py() is None else longest_within(v.as_py(), budget) for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fit, pa.int64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohera.llm.memory import lean
+
 
 #: A-Z in lower case; every ASCII character that is no letter or digit parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -125,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         hashes = np.r_[model.hashes.view(np.int64), -1]
         yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.r_[model.weights, model.bias])], ["h", "w"])
 
-    got = rows.repartition(1).mapInArrow(learn, "h bigint, w double").toPandas()
+    got = rows.repartition(1).mapInArrow(lean(learn), "h bigint, w double").toPandas()
     bias = got.loc[got.h == -1, "w"]
     got = got[got.h != -1].sort_values("h")
     return Model(got.h.to_numpy(np.int64).view(np.uint64), got.w.to_numpy(float), float(bias.iloc[0]) if len(bias) else -60.0)
@@ -147,7 +149,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             scores = [m.score(t.as_py()) for t in batch.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 #: A text is called toxic from this score on.
