@@ -33,7 +33,7 @@ SEED = 42
 #: Lanes of 64 bits in a wide fingerprint; further lanes are mixed from a shingle's one hash.
 LANES = 8
 #: Rows of whole buckets that one trie is built over, and node pairs held at once.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 50_000, 250_000
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 50_000, 100_000
 #: Trie nodes that a node of a crowded bucket may meet, itself included. Only fingerprints that are nearly all alike stay crowded.
 MOST_PARTNERS = 1_024
 #: Mean rows of a bucket up to which fewer, larger buckets are chosen: comparisons grow with its square, dealt rows with r.
@@ -112,14 +112,14 @@ def trie_links(values: np.ndarray, bucket: np.ndarray, budget: int, side: np.nda
     """
     n = len(values)
     label = np.arange(n)
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    ends = np.r_[edges[1:], n]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).astype(np.int32)
+    ends = np.r_[edges[1:], np.int32(n)]
     if side is None or not side.any():
         many = ends - edges > 1
         al, ah = edges[many], ends[many]
         bl, bh = al, ah
     else:
-        second = np.r_[0, np.cumsum(side == 2)]
+        second = np.r_[0, np.cumsum(side == 2)].astype(np.int32)
         middle_of = ends - (second[ends] - second[edges])
         own = side[edges] == 0
         many = np.where(own, ends - edges > 1, (middle_of > edges) & (middle_of < ends))
