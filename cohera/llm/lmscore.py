@@ -2,11 +2,12 @@
 
 The network predicts each token from the two on either side: their embeddings (one table a place) are added and
 squashed, and a two-step softmax gives the token's class and the token within its class. The vocabulary is counted
-over all documents. Training begins with a bounded sample in one task, which gives all a common start; then every
-partition goes over all of its documents once, and the partitions' parameters are averaged by tokens seen. The model
-thus depends on how the documents are split into partitions, as it does in any parallel training of this kind. Words
-without a number of their own share a bucket, and each has its share of the bucket's tokens over the whole corpus. A
-document's score is the sum of log p(token | both sides) over its tokens.
+over all documents; then their words are stored as numbers, which all later steps read. Training begins with a bounded
+sample in one task, which gives all a common start; then every partition goes over all of its documents once, and the
+partitions' parameters are averaged by tokens seen. The model thus depends on how the documents are split into
+partitions, as it does in any parallel training of this kind. Words without a number of their own share a bucket, and
+each has its share of the bucket's tokens over the whole corpus. A document's score is the sum of
+log p(token | both sides) over its tokens.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohera.llm.memory import lean
 from cohera.plans.shared import written
 
 #: Words with a number of their own at least, and buckets that all other words share by hash.
@@ -34,10 +36,14 @@ CLASSES = 64
 DISTINCT = 400_000
 #: Words next in frequency whose counts every worker holds; the counts of all others are joined.
 HELD = 300_000
-#: Bytes of text that are encoded together (a longer text is taken by itself).
-SLICE_BYTES = 2_000_000
+#: Bytes of text that are encoded together, and tokens that are gone over together (a longer text is taken by itself).
+SLICE_BYTES, SLICE_TOKENS = 2_000_000, 330_000
 WIDTH, SIDE = 16, 2
 BATCH = 16_384
+#: Rows of a batch whose softmax is formed at once, so that it stays in a core's cache.
+ROWS = 512
+#: Logits up to which exp() is taken as they are in single precision; rows that may have larger ones are lowered first.
+TAME = 60
 RATE = 0.11
 
 
@@ -89,26 +95,28 @@ class Vocabulary:
         here = keys[at] == hashes
         return np.where(here, logs[at], 0.0), ~here, hashes
 
-    def encode(self, text: bytes | None, rare: list[bytes]) -> np.ndarray:
-        """Numbers of the text's words; those that only have a bucket are added to `rare`."""
-        own = words(text)
+    def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(numbers of the texts' words, words of each text, words that only have a bucket)."""
+        by_text = [words(text) for text in texts]
+        own = list(chain.from_iterable(by_text))
         ids = np.fromiter(map(self.number.get, own, repeat(-1)), np.int64, len(own))
-        if (unknown := ids < 0).any():
-            found = list(compress(own, unknown.tolist()))
-            ids[unknown] = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % BUCKETS + self.known
-            rare += found
-        return ids
-
-    def flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """(numbers with marks between documents, places of tokens, document of each token, words that only have a bucket)."""
-        gap = np.full(SIDE, self.outside)
-        parts, sizes, rare = [gap], np.zeros(len(texts), np.int64), []
-        for d, text in enumerate(texts):
-            ids = self.encode(text, rare)
-            parts += [ids, gap]
-            sizes[d] = len(ids)
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        return np.concatenate(parts), np.arange(len(doc)) + SIDE * (doc + 1), doc, rare
+        unknown = ids < 0
+        rare = list(compress(own, unknown.tolist()))
+        ids[unknown] = np.fromiter(map(zlib.crc32, rare), np.int64, len(rare)) % BUCKETS + self.known
+        return ids, np.fromiter(map(len, by_text), np.int64, len(texts)), rare
+
+    @property
+    def kind(self) -> np.dtype:
+        """What a number is stored as."""
+        return np.dtype("<u2" if self.outside < 65_536 else "<i4")
+
+    def laid(self, stored: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts' stored numbers: (numbers with marks between texts, places of tokens, text of each token)."""
+        sizes = np.fromiter(map(len, stored), np.int64, len(stored)) // self.kind.itemsize
+        text = np.repeat(np.arange(len(stored)), sizes)
+        ids, place = np.full(len(text) + SIDE * (len(stored) + 1), self.outside, np.int32), np.arange(len(text)) + SIDE * (text + 1)
+        ids[place] = np.frombuffer(b"".join(stored), self.kind)
+        return ids, place, text
 
 
 class Network:
@@ -135,52 +143,55 @@ class Network:
         })
 
     def hidden(self, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(rows of 1, for the biases, and the hidden values; numbers around by place)."""
         around = [ids[place + k] for k in self.OFFSETS]
         x = self.p["bias"] + self.p["emb"][0].take(around[0], axis=0)
         for k in range(1, len(around)):
             x += self.p["emb"][k].take(around[k], axis=0)
-        return np.tanh(x, out=x), around
+        h = np.ones((len(x), x.shape[1] + 1), x.dtype)
+        np.tanh(x, out=h[:, 1:])
+        return h, around
+
+    def layers(self) -> list[tuple[np.ndarray, bool]]:
+        """The softmax over classes, then that of each class: (rows of bias and weights, whether all logits are tame)."""
+        out = []
+        for bias, weights in ((self.p["cls_bias"][None], self.p["cls"][None]), (self.p["out_bias"], self.p["out"])):
+            rows = np.concatenate([bias[:, None], weights], axis=1)
+            out += zip(rows, (np.abs(rows).sum(axis=1).max(axis=1) < TAME).tolist(), strict=True)  # hidden values are within -1 and 1
+        return out
 
-    @staticmethod
-    def _exp(z: np.ndarray) -> np.ndarray:
-        """exp(z) in place, of rows lowered by their largest entry first if single precision asks for it; row sums."""
-        if not (z.max() < 60 and z.min() > -60):
-            z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        return z @ np.ones(z.shape[1], z.dtype)
+    def _sorted(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
+        """(an order of the places by class; layer, first and last row, and targets of these rows of each softmax to form)."""
+        target = ids[at]
+        cls, within = target // self.per_class, target % self.per_class
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cls, within = cls[order], within[order]
+        ends = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        spans = [(0, 0, len(at), cls), *((c + 1, a, b, within[a:b]) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b)]
+        return order, [(k, lo, min(lo + ROWS, b), t[lo - a : lo - a + ROWS]) for k, a, b, t in spans for lo in range(a, b, ROWS)]
 
-    @classmethod
-    def _log_softmax_at(cls, z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log softmax of each row at its target; z is used up."""
-        if not (z.max() < 60 and z.min() > -60):
+    @staticmethod
+    def _logits(layer: tuple[np.ndarray, bool], h: np.ndarray) -> np.ndarray:
+        z = h @ layer[0]
+        if not layer[1]:
             z -= z.max(axis=1, keepdims=True)
-        chosen = z[np.arange(len(z)), target]
-        return chosen - np.log(cls._exp(z))
-
-    @classmethod
-    def _softmax(cls, z: np.ndarray) -> np.ndarray:
-        z *= (1 / cls._exp(z))[:, None]
         return z
 
     def log_probs(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log p(token | both sides) at each place."""
-        out = np.empty(len(place), np.float32)
+        out, layers = np.empty(len(place), np.float32), self.layers()
         for lo in range(0, len(place), BATCH):
             at = place[lo : lo + BATCH]
-            target = ids[at]
-            cls, within = target // self.per_class, target % self.per_class
-            order = np.argsort(cls.astype(np.int16), kind="stable")
-            at, cls, within = at[order], cls[order], within[order]
-            h, _ = self.hidden(ids, at)
-            z = h @ self.p["cls"]
-            z += self.p["cls_bias"]
-            lp = self._log_softmax_at(z, cls)
-            ends = np.searchsorted(cls, np.arange(self.classes + 1))
-            for c in np.unique(cls).tolist():
-                a, b = ends[c], ends[c + 1]
-                z = h[a:b] @ self.p["out"][c]
-                z += self.p["out_bias"][c]
-                lp[a:b] += self._log_softmax_at(z, within[a:b])
+            order, parts = self._sorted(ids, at)
+            h, _ = self.hidden(ids, at[order])
+            lp = np.zeros(len(at), h.dtype)
+            ones, row = np.ones(max(self.classes, self.per_class), h.dtype), np.arange(ROWS)
+            for k, a, b, target in parts:
+                z = self._logits(layers[k], h[a:b])
+                chosen = z[row[: b - a], target]
+                np.exp(z, out=z)
+                chosen -= np.log(z @ ones[: z.shape[1]])
+                lp[a:b] += chosen
             out[lo + order] = lp
         return out
 
@@ -189,45 +200,55 @@ class Network:
         p = self.p
         for lo in range(0, len(place), BATCH):
             at = place[lo : lo + BATCH]
-            target = ids[at]
-            cls, within = target // self.per_class, target % self.per_class
-            order = np.argsort(cls.astype(np.int16), kind="stable")
-            at, cls, within = at[order], cls[order], within[order]
+            order, parts = self._sorted(ids, at)
+            h, around = self.hidden(ids, at[order])
+            layers = self.layers()
+            dh, of_cls, of_out = np.zeros_like(h[:, 1:]), np.zeros_like(layers[0][0]), np.zeros((self.classes, *layers[1][0].shape), h.dtype)
+            slopes = [of_cls, *of_out]
+            ones, row = np.ones(max(self.classes, self.per_class), h.dtype), np.arange(ROWS)
+            for k, a, b, target in parts:
+                g = self._logits(layers[k], h[a:b])
+                np.exp(g, out=g)
+                total = g @ ones[: g.shape[1]]
+                g[row[: b - a], target] -= total  # the slopes by the logits, times each row's total
+                scale = (1 / total)[:, None]
+                back = g @ layers[k][0][1:].T
+                back *= scale
+                dh[a:b] += back
+                slopes[k] += (h[a:b] * scale).T @ g
             n = np.float32(len(at))
-            h, around = self.hidden(ids, at)
-            g = h @ p["cls"]
-            g += p["cls_bias"]
-            g = self._softmax(g)
-            g[np.arange(len(at)), cls] -= 1
-            dh = g @ p["cls"].T
-            self._step("cls", ..., h.T @ g / n, memory)
-            self._step("cls_bias", ..., self._total(g) / n, memory)
-            ends = np.searchsorted(cls, np.arange(self.classes + 1))
-            for c in np.unique(cls).tolist():
-                a, b = ends[c], ends[c + 1]
-                g = h[a:b] @ p["out"][c]
-                g += p["out_bias"][c]
-                g = self._softmax(g)
-                g[np.arange(b - a), within[a:b]] -= 1
-                dh[a:b] += g @ p["out"][c].T
-                self._step("out", c, h[a:b].T @ g / n, memory)
-                self._step("out_bias", c, self._total(g) / n, memory)
+            of_cls /= n
+            of_out /= n
+            self._step("cls", ..., of_cls[1:], memory)
+            self._step("cls_bias", ..., of_cls[0], memory)
+            self._step("out", ..., of_out[:, 1:], memory)
+            self._step("out_bias", ..., of_out[:, 0], memory)
+            h = h[:, 1:]
             dx = dh * (1 - h * h) / n
-            self._step("bias", ..., dx.sum(0), memory)
+            self._step("bias", ..., self._total(dx), memory)
+            pairs = dx.view(np.result_type(dx.dtype, np.complex64))  # two columns in one, which halves the sums to be formed
             for k, ctx in enumerate(around):
                 by = np.argsort(ctx.astype(np.uint16) if len(p["emb"][k]) <= 65_536 else ctx, kind="stable")
                 ordered = ctx[by]
                 first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                self._step("emb", (k, ordered[first]), np.add.reduceat(dx.take(by, axis=0), first, axis=0), memory)
+                self._step("emb", (k, ordered[first]), np.add.reduceat(pairs.take(by, axis=0), first, axis=0).view(dx.dtype), memory)
 
     @staticmethod
     def _total(g: np.ndarray) -> np.ndarray:
         return np.ones(len(g), g.dtype) @ g
 
     def _step(self, name: str, where, grad: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        seen = memory[name][where] + grad * grad
-        memory[name][where] = seen
-        self.p[name][where] -= np.float32(RATE) * grad / np.sqrt(seen + np.float32(1e-8))
+        weights, seen = self.p[name], memory[name]
+        if isinstance(where, tuple):
+            place, where = where
+            weights, seen = weights[place], seen[place]
+        total = grad * grad
+        total += seen[where]
+        seen[where] = total
+        total += np.float32(1e-8)
+        change = np.float32(RATE) * grad
+        change /= np.sqrt(total, out=total)
+        weights[where] -= change
 
     def memory(self) -> dict[str, np.ndarray]:
         return {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
@@ -243,12 +264,12 @@ class Network:
             return cls({k: f[k] for k in cls.NAMES})
 
 
-def slices(column: pa.Array) -> Iterator[list[bytes | None]]:
-    """The texts in runs of about SLICE_BYTES."""
+def slices(column: pa.Array, most: int) -> Iterator[list[bytes | None]]:
+    """The values in runs of about `most` bytes."""
     held, size = [], 0
     for value in column:
         text = value.as_py()
-        if held and size + len(text or b"") > SLICE_BYTES:
+        if held and size + len(text or b"") > most:
             yield held
             held, size = [], 0
         held.append(text)
@@ -273,18 +294,12 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def _counted(found: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(lean(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2_000) -> tuple[Vocabulary, Network, DataFrame]:
-    """Vocabulary and network of all documents, and the counts of words that share a bucket (h, log_n; without those
-    that occur once, whose log is 0, and those that the vocabulary holds). Only the common start is fitted on a sample
-    (about `sample_docs`).
 
-    Parameters are a few MB whatever the corpus; each partition sends its own through the shuffle, cut in blocks that
-    are averaged in as many tasks: first over runs of 256 partitions, then over the runs, always in order.
-    """
-    spark = docs.sparkSession
+def count(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """Vocabulary of all documents, tokens by class and number, and the counts of words that share a bucket (h, log_n; without
+    those that occur once, whose log is 0, and those that the vocabulary holds)."""
     counted = written(count_words(docs, text_col), "words")
     rung = F.floor(F.log2("n") * 8)  # counts in steps of an eighth of an octave
     ladder = sorted(counted.groupBy(rung.alias("rung")).count().collect(), reverse=True)
@@ -316,23 +331,66 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     held = held.sort_values("h")
     shares = log_n.filter(beyond).select("h", "log_n")
     vocabulary = Vocabulary([bytes(r["word"]) for r in top], known, counts[known:], (held.h.to_numpy(np.int64), held.log_n.to_numpy(float)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_docs = rows.count()
-    share = int(1_000_003 * min(1.0, sample_docs / max(n_docs, 1)))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_003)) < share).select("text")
-    begin = Network.fresh(counts, classes=classes).pack()
+    return vocabulary, counts.reshape(classes, -1), shares
+
+
+def number(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep_text: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` with their texts' words as numbers, written once: row (its columns but those of `without`), at (a number of
+    its own), n (tokens), s (log shares of the vocabulary's words in their buckets), rare (hashes of other words that
+    only have a bucket), ids (the numbers)."""
+    names = [c for c in docs.columns if c not in without and (keep_text or c != text_col)]
+    row = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in names]).alias("row")
+    kept = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    more = [("n", T.LongType()), ("s", T.DoubleType()), ("rare", T.ArrayType(T.LongType())), ("ids", T.BinaryType())]
+    schema = T.StructType([kept.schema["row"], *[T.StructField(*x) for x in more]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        for batch in batches:
+            done = 0
+            for texts in slices(batch.column(1).cast(pa.binary()), SLICE_BYTES):
+                ids, n, rare = vocabulary.numbers(texts)
+                logs, unheld, hashes = vocabulary.shares(rare)
+                bucket = ids >= vocabulary.known
+                doc = np.repeat(np.arange(len(texts)), n)[bucket]
+                s = np.bincount(doc, logs - vocabulary.log_total[ids[bucket]], len(texts)).astype(float)  # of no words, it counts in whole numbers
+                left = np.bincount(doc[unheld], minlength=len(texts))
+                lists = pa.ListArray.from_arrays(pa.array(_offsets(left)), pa.array(hashes[unheld]))
+                raw = ids.astype(vocabulary.kind)
+                stored = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(_offsets(n * raw.itemsize)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), pa.array(n), pa.array(s), lists, stored], schema.names)
+                done += len(texts)
+
+    return written(kept.mapInArrow(lean(run), schema).withColumn("at", F.monotonically_increasing_id()), "numbered")
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def fit(numbered: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, id_col: str = "doc_id", sample_docs: int = 2_000) -> Network:
+    """The network of all numbered documents. Only the common start is fitted on a sample (about `sample_docs`).
+
+    Parameters are a few MB whatever the corpus; each partition sends its own through the shuffle, cut in blocks that
+    are averaged in as many tasks: first over runs of 256 partitions, then over the runs, always in order.
+    """
+    spark = numbered.sparkSession
+    share = int(1_000_003 * min(1.0, sample_docs / max(numbered.count(), 1)))
+    sample = numbered.filter(F.pmod(F.xxhash64(F.lit(3), F.col(f"row.`{id_col}`")), F.lit(1_000_003)) < share).select("ids")
+    begin = Network.fresh(counts.ravel(), classes=len(counts)).pack()
     shared = spark.sparkContext.broadcast((vocabulary, begin))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _locally(batches, *shared.value, passes=2)
 
-    start = [bytes(r["params"]) for r in sample.repartition(1).mapInArrow(first, _MODEL).collect()]
+    start = [bytes(r["params"]) for r in sample.repartition(1).mapInArrow(lean(first), _MODEL).collect()]
     common = spark.sparkContext.broadcast((vocabulary, start[0] if start else begin))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _locally(batches, *common.value, passes=1)
 
-    models = rows.select("text").mapInArrow(own, _MODEL).filter("n > 0").withColumn("part", F.spark_partition_id())
+    models = numbered.select("ids").mapInArrow(lean(own), _MODEL).filter("n > 0").withColumn("part", F.spark_partition_id())
     network = Network.unpack(common.value[1])
     flat, shapes = _flatten(network)
     block = 8_192
@@ -348,7 +406,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     runs = blocks.groupBy("block", F.expr("part DIV 256")).applyInPandas(average, _BLOCKS)
     for r in runs.groupBy("block").applyInPandas(average, _BLOCKS).collect():
         flat[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["weights"], np.float32)
-    return vocabulary, _shaped(flat, shapes), shares
+    return _shaped(flat, shapes)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2_000) -> tuple[Vocabulary, Network, DataFrame]:
+    """Vocabulary and network of all documents, and the counts of words that the vocabulary doesn't hold: see count() and fit()."""
+    vocabulary, counts, shares = count(docs, text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return vocabulary, fit(number(rows, vocabulary, keep_text=False), vocabulary, counts, "id", sample_docs), shares
 
 
 _MODEL = "n bigint, params binary"
@@ -381,12 +446,12 @@ def _cut_blocks(block: int):
 
 
 def _locally(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, raw: bytes, passes: int) -> pa.RecordBatch:
-    """Train on the batches' texts from the given parameters; one row: tokens seen, parameters."""
+    """Train on the batches' numbers from the given parameters; one row: tokens seen, parameters."""
     network, seen = Network.unpack(raw), 0
     memory = network.memory()
     for batch in batches:
-        for texts in slices(batch.column(0).cast(pa.binary())):
-            ids, place, *_ = vocabulary.flat(texts)
+        for stored in slices(batch.column(0), SLICE_TOKENS * vocabulary.kind.itemsize):
+            ids, place, _ = vocabulary.laid(stored)
             for k in range(passes):
                 network.train(ids, np.random.default_rng(k).permutation(place), memory)
             seen += len(place)
@@ -398,41 +463,39 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network, DataFrame], text_co
 
     A null text has no tokens. A word without a number of its own scores as its bucket times its share of the bucket;
     one that the model never saw, as one token of it. Rows stay as they are (without texts unless `keep_text`);
-    columns named like the new ones are replaced; an empty table gives an empty one. Rows are written once, so that
-    the shares of their words, met by hash, find them again.
+    columns named like the new ones are replaced; an empty table gives an empty one.
     """
-    kinds = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType(), "mean_log_likelihood": T.DoubleType()}
-    names = [c for c in docs.columns if c not in kinds and (keep_text or c != text_col)]
-    row = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in names]).alias("row")
-    kept = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].pack()))
-    schema = T.StructType([kept.schema["row"], T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])
+    return scored(number(docs, model[0], text_col, keep_text, _SCORES), model)
+
+
+_SCORES = ("n_tokens", "log_likelihood", "mean_log_likelihood")
+
+
+def scored(numbered: DataFrame, model: tuple[Vocabulary, Network, DataFrame]) -> DataFrame:
+    """Scores of documents that number() has gone over with the model's vocabulary: see score()."""
+    shared = numbered.sparkSession.sparkContext.broadcast((model[0], model[1].pack()))
+    names = [f.name for f in numbered.schema["row"].dataType.fields[1:]]
+    rows = numbered.select("row", "at", "n", "s", "ids")
+    schema = T.StructType(rows.schema.fields[:4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = shared.value[0], Network.unpack(shared.value[1])
         for batch in batches:
-            column, counts, sums, rare, left = batch.column(1).cast(pa.binary()), [], [], [], []
-            for texts in slices(column):
-                ids, place, doc, words_left = vocabulary.flat(texts)
-                own = ids[place]
-                lp = network.log_probs(ids, place) - vocabulary.log_total[own]
-                logs, unheld, hashes = vocabulary.shares(words_left)
-                lp[own >= vocabulary.known] += logs
-                counts.append(np.bincount(doc, minlength=len(texts)))
-                sums.append(np.bincount(doc, lp, len(texts)))
-                rare.append(hashes[unheld])
-                left.append(np.bincount(doc[own >= vocabulary.known][unheld], minlength=len(texts)))
-            n, s = (np.concatenate([*x, np.empty(0, t)]) for x, t in ((counts, np.int64), (sums, np.float64)))
-            at = np.cumsum(np.concatenate([[0], *left])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *rare])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), lists], schema.names)
-
-    found = written(kept.mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id()), "scored")
-    more = found.select("at", F.explode("rare").alias("h")).join(model[2], "h").groupBy("at").agg(F.sum("log_n").alias("more"))
-    out = found.drop("rare").join(more, "at", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
-    return out.select(*[F.col(f"row.`{c}`") for c in names], F.col("n").alias("n_tokens"), F.col("s").alias("log_likelihood"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean_log_likelihood"))
+            sums = [np.empty(0)]
+            for stored in slices(batch.column(4), SLICE_TOKENS * vocabulary.kind.itemsize):
+                ids, place, doc = vocabulary.laid(stored)
+                sums.append(np.bincount(doc, network.log_probs(ids, place), len(stored)))
+            s = np.concatenate(sums) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s)], schema.names)
+
+    more = numbered.select("at", F.explode("rare").alias("h")).join(model[2], "h").groupBy("at").agg(F.sum("log_n").alias("more"))
+    out = rows.mapInArrow(lean(run), schema).join(more, "at", "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0)))
+    scores = (F.col("n"), F.col("s"), F.when(F.col("n") > 0, F.col("s") / F.col("n")))
+    return out.select(*[F.col(f"row.`{c}`") for c in names], *[x.alias(c) for x, c in zip(scores, _SCORES, strict=True)])
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs), keep_text=False)
+    vocabulary, counts, shares = count(docs)
+    numbered = number(docs, vocabulary, keep_text=False)
+    return scored(numbered, (vocabulary, fit(numbered, vocabulary, counts), shares))

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from cohera.llm import lmscore
@@ -121,3 +123,79 @@ def test_document_score_worked_out_plainly(spark, monkeypatch):
             if t >= vocabulary.known:
                 total += np.log(counts[w] / (in_bucket[t] + 1))
         assert abs(got[i] - total) < 1e-2
+
+
+def test_texts_are_read_twice(spark, sf_dir, monkeypatch):
+    """Once to count words and once to number them; training and scoring go over the numbers."""
+    kind, read = type(spark.range(1)), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: (read.append("text" in self.columns), plain(self, *a, **k))[1])
+    assert lmscore.op8_lm_scoring(spark, sf_dir).count() > 0
+    assert sum(read) == 2
+
+
+def test_softmax_is_formed_in_parts():
+    """A batch's logits over all classes (16 MB here) are never held at once."""
+    classes = 256
+    net = lmscore.Network.fresh(np.ones(classes * 8), classes=classes)
+    ids = np.random.default_rng(5).integers(0, classes * 8, lmscore.BATCH + 4)
+    place, memory = np.arange(2, lmscore.BATCH + 2), net.memory()
+    for run in (lambda: net.log_probs(ids, place), lambda: net.train(ids, place, memory)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10e6
+
+
+def test_training_worked_out_plainly(monkeypatch):
+    """One batch by plain loops, with classes whose logits may overflow exp() among others."""
+    monkeypatch.setattr(lmscore, "ROWS", 7)
+    rng = np.random.default_rng(6)
+    net = lmscore.Network.fresh(rng.integers(1, 9, 40).astype(float), classes=5)
+    net.p = {k: v + rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
+    net.p["out"][2] *= 400
+    assert [tame for _, tame in net.layers()] == [True, True, True, False, True, True]
+    ids = np.r_[40, 40, rng.integers(0, 40, 60), 40, 40]
+    place = rng.permutation(np.arange(2, 62))
+    p, slope = {k: v.copy() for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
+    plain = {}
+    for i in place:
+        h = np.tanh(p["bias"] + sum(p["emb"][j][ids[i + off]] for j, off in enumerate((-2, -1, 1, 2))))
+        c, m = divmod(ids[i], 8)
+        dh, lp = np.zeros(len(h)), 0.0
+        for name, at, pick in (("cls", ..., c), ("out", c, m)):
+            z = h @ p[name][at] + p[f"{name}_bias"][at]
+            z -= z.max()
+            q = np.exp(z)
+            lp += z[pick] - np.log(q.sum())
+            q /= q.sum()
+            q[pick] -= 1
+            slope[name][at] += np.outer(h, q) / len(place)
+            slope[f"{name}_bias"][at] += q / len(place)
+            dh += p[name][at] @ q
+        plain[i] = lp
+        dx = dh * (1 - h * h) / len(place)
+        slope["bias"] += dx
+        for j, off in enumerate((-2, -1, 1, 2)):
+            slope["emb"][j][ids[i + off]] += dx
+    assert np.allclose(net.log_probs(ids, place), [plain[i] for i in place], rtol=1e-4, atol=1e-4)
+    net.train(ids, place, net.memory())
+    for k, g in slope.items():
+        assert np.allclose(net.p[k], p[k] - lmscore.RATE * g / np.sqrt(1e-4 + g * g + 1e-8), atol=1e-6), k
+
+
+def test_numbers_are_kept_whole(spark, odd_docs):
+    """Stored numbers of odd texts, cut anywhere, give the words' numbers back."""
+    texts = [r.text and r.text.encode() for r in odd_docs.select("text").collect()]
+    for known in (20, 70_000):
+        vocabulary = lmscore.Vocabulary([b"w%d" % i for i in range(known)], known)
+        ids, n, _ = vocabulary.numbers(texts)
+        ends = np.cumsum(n)
+        stored = [ids[e - k : e].astype(vocabulary.kind).tobytes() for e, k in zip(ends, n, strict=True)]
+        laid, place, doc = vocabulary.laid(stored)
+        want = [(d, vocabulary.number[w]) for d, t in enumerate(texts) for w in lmscore.words(t)]
+        assert list(zip(doc.tolist(), laid[place].tolist(), strict=True)) == want
+        assert (np.delete(laid, place) == vocabulary.outside).all() and len(laid) == len(place) + 2 * (len(texts) + 1)
+    rows = lmscore.number(odd_docs, vocabulary).collect()
+    assert sorted(bytes(r.ids) for r in rows) == sorted(stored) and len({r["at"] for r in rows}) == len(texts)
