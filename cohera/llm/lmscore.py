@@ -91,7 +91,9 @@ class Vocabulary:
         keys, logs = self.held
         if not len(keys):
             return np.zeros(len(hashes)), np.ones(len(hashes), bool), hashes
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        order, at = np.argsort(hashes), np.empty(len(hashes), np.int64)
+        at[order] = np.searchsorted(keys, hashes[order])  # in order, neighbours are found near each other
+        at = np.minimum(at, len(keys) - 1)
         here = keys[at] == hashes
         return np.where(here, logs[at], 0.0), ~here, hashes
 

@@ -199,3 +199,15 @@ def test_numbers_are_kept_whole(spark, odd_docs):
         assert (np.delete(laid, place) == vocabulary.outside).all() and len(laid) == len(place) + 2 * (len(texts) + 1)
     rows = lmscore.number(odd_docs, vocabulary).collect()
     assert sorted(bytes(r.ids) for r in rows) == sorted(stored) and len({r["at"] for r in rows}) == len(texts)
+
+
+def test_held_words_are_found_wherever_they_lie():
+    rng = np.random.default_rng(7)
+    words = [b"r%d" % i for i in range(3000)]
+    counted = {w: int(n) for w, n in zip(words[:1000], rng.integers(2, 99, 1000), strict=True)}
+    by_hash = sorted((int(np.uint64(lmscore.xxhash.xxh64_intdigest(w, 42)).view(np.int64)), np.log(n)) for w, n in counted.items())
+    vocabulary = lmscore.Vocabulary([], 0, np.ones(lmscore.BUCKETS), (np.array([h for h, _ in by_hash]), np.array([x for _, x in by_hash])))
+    asked = [words[i] for i in rng.integers(0, 3000, 5000)]
+    logs, unheld, _ = vocabulary.shares(asked)
+    assert unheld.tolist() == [w not in counted for w in asked]
+    assert np.allclose(logs, [np.log(counted.get(w, 1)) for w in asked])
